@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _joined(text, header_path, fname, ts_ms):
@@ -21,7 +22,7 @@ def stable_uid(text: Column, header_path: Column, fname: Column, ts_ms: Column)
     return F.substring(F.sha2(_joined(text, header_path, fname, ts_ms), 256), 1, 32)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _blake2s_128(keys: pd.Series) -> pd.Series:
     return keys.map(lambda s: hashlib.blake2s(s.encode("utf-8"), digest_size=16).hexdigest())
 
