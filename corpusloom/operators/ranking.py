@@ -36,18 +36,15 @@ def budget_prefix(hits: DataFrame, tokens: str, budget: int, keys: list[str] = (
 def budget_cap(hits: DataFrame, tokens: str, budget: int = TOKEN_CAP, keys: list[str] = ("q_id",), rank: str = "rank") -> DataFrame:
     """As ``budget_prefix`` but rank 1 always stays, and stays alone when it uses the budget up."""
     w = _running(list(keys), rank)
-    first = F.first(tokens).over(w)
-    keep = (F.col(rank) == 1) | ((first < budget) & (F.col("running_tokens") <= budget))
-    return hits.withColumn("running_tokens", F.sum(tokens).over(w)).where(keep)
+    out = hits.withColumn("running_tokens", F.sum(tokens).over(w)).withColumn("_first", F.first(tokens).over(w))
+    return out.where((F.col(rank) == 1) | ((F.col("_first") < budget) & (F.col("running_tokens") <= budget))).drop("_first")
 
 
 def budget_inclusive(hits: DataFrame, tokens: str, max_context: int, max_tokens: int, keys: list[str] = ("q_id",), rank: str = "rank") -> DataFrame:
     """The row that overflows is still included; at most ``max_context // max_tokens`` rows."""
     before = F.col("running_tokens") - F.col(tokens)
     return hits.withColumn("running_tokens", F.sum(tokens).over(_running(list(keys), rank))).where(
-        (F.col(rank) <= max_context // max_tokens)
-        & ((F.col(rank) == 1) | (before <= max_context))
-    )
+        (F.col(rank) <= max_context // max_tokens) & (before <= max_context))
 
 
 def footnotes(citations: DataFrame, question: str = "q_id", number: str = "n", label: str = "label",
