@@ -84,9 +84,16 @@ def _(spark, d):
     return mixture.bounded_clusters(_points(spark, d).join(t, "node_id"), **SWEEP)
 
 
+_TREES: dict[tuple[str, str], tree.Tree] = {}
+
+
 def _tree(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return tree.build(tree.leaves(docs, EMBEDDER), EMBEDDER, **SWEEP)
+    """The corpus tree; its tables are written once per application and read by every search."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _TREES:
+        docs = table(spark, d, "documents").select("doc_id", "text")
+        _TREES[key] = tree.build(tree.leaves(docs, EMBEDDER), EMBEDDER, **SWEEP)
+    return _TREES[key]
 
 
 def _questions(spark, d):
