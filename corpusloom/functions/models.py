@@ -32,24 +32,26 @@ Answerer = Callable[[Column, Column], Column]
 Reranker = Callable[[Column, Column], Column]
 TokenCounter = Callable[[Column], Column]
 
-_BUCKETS: dict[tuple[int, str], int] = {}
+class _Buckets(dict):
+    """Word to hash bucket, filled on first use and bounded in size."""
 
+    def __init__(self, dim: int):
+        self.dim = dim
 
-def _bucket(word: str, dim: int) -> int:
-    """First 32 bits of the word's MD5, modulo ``dim`` (remembered per worker)."""
-    key = (dim, word)
-    found = _BUCKETS.get(key)
-    if found is None:
-        if len(_BUCKETS) > 500_000:
-            _BUCKETS.clear()
-        found = _BUCKETS[key] = int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16) % dim
-    return found
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        found = self[word] = int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16) % self.dim
+        return found
 
+    def __reduce__(self):
+        return _Buckets, (self.dim,)
 
-def hash_vector(text: str | None, dim: int) -> np.ndarray:
-    """Word counts by hash bucket, scaled to unit length."""
-    ids = [_bucket(w, dim) for w in (text or "").lower().split()]
-    counts = np.bincount(ids, minlength=dim).astype(np.float64)
+
+def hash_vector(text: str | None, buckets: _Buckets) -> np.ndarray:
+    """Word counts by bucket (first 32 bits of the word's MD5), scaled to unit length."""
+    ids = list(map(buckets.__getitem__, (text or "").lower().split()))
+    counts = np.bincount(ids, minlength=buckets.dim).astype(np.float64) if ids else np.zeros(buckets.dim)
     return (counts / (np.sqrt(counts @ counts) + 1e-9)).astype(np.float32)
 
 
@@ -68,11 +70,11 @@ class HashEmbedder:
         return f"hash-{self.dim}"
 
     def __call__(self, text: Column) -> Column:
-        dim = self.dim
+        buckets = _Buckets(self.dim)
 
         @F.pandas_udf("array<float>")
         def embed(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: hash_vector(t, dim))
+            return texts.map(lambda t: hash_vector(t, buckets))
 
         return embed(text)
 
@@ -92,11 +94,13 @@ def _sentences(text: str | None) -> list[str]:
 def extractive_summary(context: Column, max_tokens: int, dim: int = 64) -> Column:
     """Sentences nearest the centroid of the context, in text order, within the budget."""
 
+    buckets = _Buckets(dim)
+
     def one(text: str) -> str:
         sentences = _sentences(text)
         if not sentences:
             return ""
-        vecs = np.stack([hash_vector(s, dim) for s in sentences]).astype(np.float64)
+        vecs = np.stack([hash_vector(s, buckets) for s in sentences]).astype(np.float64)
         score = np.round(vecs @ vecs.mean(axis=0), 6)
         order = np.lexsort((np.arange(len(sentences)), -score))
         cost = np.array([max(1, (len(s) + 3) // 4) for s in sentences])
@@ -115,11 +119,13 @@ def extractive_summary(context: Column, max_tokens: int, dim: int = 64) -> Colum
 def extractive_answer(context: Column, question: Column, dim: int = 64) -> Column:
     """The sentence of the context closest to the question."""
 
+    buckets = _Buckets(dim)
+
     def one(text: str | None, q: str) -> str:
         sentences = _sentences(text)
         if not sentences:
             return ""
-        scores = np.stack([hash_vector(s, dim) for s in sentences]).astype(np.float64) @ hash_vector(q, dim)
+        scores = np.stack([hash_vector(s, buckets) for s in sentences]).astype(np.float64) @ hash_vector(q, buckets)
         return sentences[int(np.argmax(np.round(scores, 6)))]
 
     @F.pandas_udf("string")

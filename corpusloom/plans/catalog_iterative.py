@@ -10,7 +10,7 @@ from corpusloom.operators import agglomerate, labels, mixture, ranking, tree
 from corpusloom.plans import corpus, ingest, retrieval
 from corpusloom.plans.catalog_tables import labelled_vectors
 from corpusloom.plans.catalog_text import _conversation_records, doc_nodes
-from corpusloom.plans.registry import query, table
+from corpusloom.plans.registry import query, table, texts
 from corpusloom.session import cut_lineage
 
 CUT = 0.7
@@ -91,7 +91,7 @@ def _tree(spark, d):
     """The corpus tree; its tables are written once per application and read by every search."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _TREES:
-        docs = table(spark, d, "documents").select("doc_id", "text")
+        docs = texts(spark, d).select("doc_id", "text")
         _TREES[key] = tree.build(tree.leaves(docs, EMBEDDER), EMBEDDER, **SWEEP)
     return _TREES[key]
 
@@ -102,7 +102,7 @@ def _questions(spark, d):
 
 @query("tree_leaves", "C18 W17 S12")
 def _(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = texts(spark, d).select("doc_id", "text")
     return tree.leaves(docs, EMBEDDER).select("node_id", "layer", "text")
 
 
@@ -153,6 +153,6 @@ def _(spark, d):
 @query("run_report", "A8 K12 D16")
 def _(spark, d):
     docs = table(spark, d, "documents")
-    nodes = retrieval.index(docs, EMBEDDER)
+    nodes = retrieval.index(texts(spark, d), EMBEDDER)
     row = corpus.RunReport("all", d, "report", warnings=["sample"]).row(docs, nodes, finished_at=0.0)
     return row.select("date", "docs_loaded", "nodes_embedded", "top_k", "similarity_cutoff", "token_cap", "llm", "embed_model", "reranker", "warnings")

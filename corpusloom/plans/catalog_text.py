@@ -9,13 +9,13 @@ from corpusloom.functions import chunking, ids
 from corpusloom.functions import text as tx
 from corpusloom.operators import export, filters, labels, ordered, polish, profile, ranking, sectioning, store
 from corpusloom.plans import registry as r
-from corpusloom.plans.registry import query, table
+from corpusloom.plans.registry import query, table, texts
 from corpusloom.sources import day_files, tables
 
 
 def doc_nodes(spark, d):
     """Documents seen as nodes: source is the file, the language is the header path."""
-    return table(spark, d, "documents").select(
+    return texts(spark, d).select(
         F.col("doc_id").alias("id"), F.col("source").alias("fname"),
         F.concat(F.lit("/"), F.col("lang"), F.lit("/")).alias("header_path"),
         F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("doc "), F.col("doc_id").cast("string"))).alias("title"),
@@ -338,13 +338,13 @@ def _(spark, d):
         CASE WHEN o.seg <> f.seg OR f.len + o.n > 100 THEN f.c + 1 ELSE f.c END FROM f JOIN o ON o.doc_id = f.doc_id AND o.p = f.p + 1)
     SELECT doc_id, c::INT AS chunk_no, string_agg(t, ' ' ORDER BY p) AS text FROM f GROUP BY doc_id, c""")
 def _(spark, d):
-    docs = table(spark, d, "documents")
+    docs = texts(spark, d)
     return chunking.explode_chunks(docs, chunking.split_text(F.col("text")), "doc_id")
 
 
 @query("overlapping_chunks", "C2")
 def _(spark, d):
-    docs = table(spark, d, "documents")
+    docs = texts(spark, d)
     return chunking.explode_chunks(docs, chunking.overlapping_chunks(F.col("text")), "doc_id")
 
 
@@ -359,7 +359,7 @@ def _(spark, d):
       coalesce(max(CASE WHEN n.lv = 1 THEN '/' WHEN n.lv = 2 THEN '/' || a.t || '/' END), '/') AS header_path
     FROM n LEFT JOIN m a ON a.doc_id = n.doc_id AND a.p = n.h1 GROUP BY n.doc_id, n.no""")
 def _(spark, d):
-    lines = sectioning.lines_of(table(spark, d, "documents"), "doc_id")
+    lines = sectioning.lines_of(texts(spark, d), "doc_id")
     line_no = F.col("pos") + 1
     marked = lines.withColumn("line", F.when(line_no % 7 == 1, F.concat(F.lit("# "), "line"))
                               .when(line_no % 3 == 0, F.concat(F.lit("## "), "line")).otherwise(F.col("line")))

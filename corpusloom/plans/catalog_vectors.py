@@ -11,7 +11,7 @@ from corpusloom.functions import vectors as vx
 from corpusloom.operators import filters, ranking, similarity
 from corpusloom.plans import registry as r
 from corpusloom.plans import retrieval
-from corpusloom.plans.registry import query, table
+from corpusloom.plans.registry import query, table, texts
 from corpusloom.sources import tables
 
 VEC = ("vec_id", "embedding")
@@ -192,7 +192,7 @@ def _(spark, d):
 @query("hash_embeddings", "X1 C18 K6", f"""WITH {r.hash_vectors('d', 'documents', 'doc_id')}
     SELECT doc_id, b::BIGINT AS bucket, round(v, 6) AS value FROM d_s""")
 def _(spark, d):
-    v = table(spark, d, "documents").select("doc_id", models.HashEmbedder(64)(F.col("text")).alias("v"))
+    v = texts(spark, d).select("doc_id", models.HashEmbedder(64)(F.col("text")).alias("v"))
     cells = v.select("doc_id", F.posexplode("v").alias("bucket", "value")).where("value <> 0")
     return cells.select("doc_id", F.col("bucket").cast("bigint").alias("bucket"), F.round(F.col("value").cast("double"), 6).alias("value"))
 
@@ -208,7 +208,7 @@ def _questions(spark, d):
 
 
 def _corpus(spark, d):
-    return retrieval.index(table(spark, d, "documents").select(
+    return retrieval.index(texts(spark, d).select(
         F.col("doc_id").alias("id"), "text", F.col("source"), F.lit(None).cast("bigint").alias("ts_ms"),
         F.lit(None).cast("string").alias("exercise_id")), models.HashEmbedder(64))
 
@@ -262,7 +262,7 @@ def _(spark, d):
 
 @query("flat_index_search", "C24 C3 V2", None)
 def _(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = texts(spark, d).select("doc_id", "text")
     flat = retrieval.flat_index(docs, "doc_id", models.HashEmbedder(64))
     return retrieval.flat_search(_questions(spark, d), flat, models.HashEmbedder(64), top_k=5)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import chunking, models
 from corpusloom.functions import text as tx
 from corpusloom.operators import filters, ordered, ranking, similarity
-from corpusloom.session import broadcast_if_small
+from corpusloom.session import cut_lineage
 
 # Texts of the daily report.
 GUARD = ("Answer tersely; bullets where natural. Cite sources inline as [^1],[^2] "
@@ -20,7 +20,6 @@ NO_PASSAGES = "_No passages found._"
 FRONT_MATTER = "---\nconfig:\n  theme: %s\n  layout: %s\n---\n# Daily FAQ — %s\n\n"
 NO_NOTES = "_No notes found._\n"
 SOURCES_HEAD = "\n---\n## Sources\n"
-MAX_QUESTIONS = 10_000
 
 
 def index(docs: DataFrame, embedder: models.Embedder, text: str = "text") -> DataFrame:
@@ -50,8 +49,13 @@ def flat_search(questions: DataFrame, flat: DataFrame, embedder: models.Embedder
 
 
 def with_payload(hits: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Attach corpus columns to hits; a small hit table is broadcast to the corpus scan."""
-    return corpus.join(broadcast_if_small(hits, 100_000), "id")
+    """Attach corpus columns to hits.
+
+    Hits are at most k per question.  They are written first, so the corpus is
+    scored once and the planner knows from the file size whether to broadcast
+    them or to shuffle both sides.
+    """
+    return corpus.join(cut_lineage(hits), "id")
 
 
 def retrieve(

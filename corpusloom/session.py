@@ -8,7 +8,6 @@ import uuid
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Largest number of bytes a query-side matrix or lookup may occupy when it is
 # shipped to every executor.  Anything bigger takes a shuffled path.
@@ -69,12 +68,6 @@ def collect_if_small(df: DataFrame, max_rows: int) -> pd.DataFrame | None:
     return None if len(rows) > max_rows else rows
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` is small enough."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def matrix(column: pd.Series) -> np.ndarray:
     """A list column as a two-dimensional float64 array."""
     return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.empty((0, 0))

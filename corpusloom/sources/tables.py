@@ -12,6 +12,18 @@ from corpusloom.functions import vectors as vx
 NODE_COLUMNS = ("id", "fname", "header_path", "title", "ts_ms", "text")
 
 
+def spread_scan(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet scan with at least one partition per core.
+
+    For heavy work per row on few or small files.  A scan with enough splits,
+    the usual case on a cluster, is left as it is.  Filters and column
+    selections still reach the files.
+    """
+    scan = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def node_scan(nodes: DataFrame) -> DataFrame:
     """The six node columns plus ``words``."""
     return nodes.select(*NODE_COLUMNS, tx.word_count(F.col("text")).alias("words"))
