@@ -40,6 +40,11 @@ def at_or_after(ts_ms: Column, after_ms: int) -> Column:
     return ts_ms >= after_ms if after_ms > 0 else F.coalesce(ts_ms, F.lit(0)) >= after_ms
 
 
+def since(ts: Column, after_ms: int, type_name: str = "timestamp") -> Column:
+    """The same on a timestamp column left bare, so that the filter reaches the files."""
+    return ts >= F.timestamp_millis(F.lit(after_ms)).cast(type_name)
+
+
 def by_distance(dist: Column, threshold: float, keep: str = "farther") -> Column:
     """Threshold selection; ``farther`` keeps distances above it, ``nearer`` those up to it."""
     if keep not in ("farther", "nearer"):

@@ -207,8 +207,9 @@ def _(spark, d):
 
 @query("after_time", "F7", "SELECT event_id, epoch_us(ts) // 1000 AS ts_ms FROM events WHERE ts >= TIMESTAMP '2024-01-15'")
 def _(spark, d):
-    e = event_records(spark, d)
-    return e.where(filters.at_or_after(F.col("ts_ms"), 1_705_276_800_000)).select("event_id", "ts_ms")
+    e = table(spark, d, "events")
+    kept = e.where(filters.since(F.col("ts"), 1_705_276_800_000, e.schema["ts"].dataType.simpleString()))
+    return kept.select("event_id", F.unix_millis(F.col("ts").cast("timestamp_ltz")).alias("ts_ms"))
 
 
 @query("sanitized_metadata", "F12", """SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS value FROM events

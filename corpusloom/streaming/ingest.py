@@ -18,9 +18,10 @@ from corpusloom.plans import ingest
 from corpusloom.sources import concatenated, day_files
 
 
-def record_stream(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
+def record_stream(spark: SparkSession, folder: str, max_files: int | None = None,
+                  glob: str = day_files.FILE_GLOB) -> DataFrame:
     """Records of new day files; ``max_files`` bounds a micro-batch."""
-    reader = spark.readStream.schema(schemas.RECORD).option("mode", "DROPMALFORMED").option("pathGlobFilter", day_files.FILE_GLOB)
+    reader = spark.readStream.schema(schemas.RECORD).option("mode", "DROPMALFORMED").option("pathGlobFilter", glob)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     name = F.col("_metadata.file_name")
