@@ -138,6 +138,50 @@ def top_matches(
     return ranked
 
 
+def _beyond(q_ids, q, c_ids, c, threshold, keep, metric) -> Iterator[pd.DataFrame]:
+    for start in range(0, len(q), _TILE):
+        d = np.round(-_scores(q[start:start + _TILE], c, metric), DIGITS) + 0.0
+        qi, ci = np.nonzero(d > threshold if keep == "farther" else d <= threshold)
+        yield pd.DataFrame({"q_id": q_ids[qi + start], "id": c_ids[ci], "distance": d[qi, ci]})
+
+
+def threshold_matches(
+    queries: DataFrame, corpus: DataFrame, threshold: float, *, keep: str = "farther",
+    query: tuple[str, str] = ("q_id", "q_vec"), item: tuple[str, str] = ("id", "embedding"),
+    metric: str = "cosine_distance", query_block: int = 4096,
+) -> DataFrame:
+    """All items on one side of a distance threshold: ``q_id, id, distance``.
+
+    ``farther`` keeps distances above it, ``nearer`` those up to it.  Questions
+    are taken in blocks, one corpus scan per block, so a task holds one block
+    of questions and one batch of the corpus and passes matches on as it finds
+    them.
+    """
+    if keep not in ("farther", "nearer"):
+        raise ValueError("keep must be 'farther' or 'nearer'")
+    q = queries.select(F.col(query[0]).alias("q_id"), F.col(query[1]).alias("vec")).where("vec is not null")
+    c = corpus.select(F.col(item[0]).alias("id"), F.col(item[1]).alias("vec")).where("vec is not null")
+    out = T.StructType([
+        T.StructField("q_id", q.schema["q_id"].dataType), T.StructField("id", c.schema["id"].dataType),
+        T.StructField("distance", T.DoubleType())])
+    blocks = max(1, -(-q.count() // query_block))
+    q = q.withColumn("_b", F.pmod(F.xxhash64("q_id"), F.lit(blocks)))
+    found = None
+    for b in range(blocks):
+        part = q.where(F.col("_b") == b).select("q_id", "vec").toPandas()
+        if part.empty:
+            continue
+
+        def scan(batches, ids=part["q_id"].to_numpy(), vecs=matrix(part["vec"])):
+            for pdf in batches:
+                if len(pdf):
+                    yield from _beyond(ids, vecs, pdf["id"].to_numpy(), matrix(pdf["vec"]), threshold, keep, metric)
+
+        rows = c.mapInPandas(scan, out)
+        found = rows if found is None else found.unionByName(rows)
+    return found if found is not None else corpus.sparkSession.createDataFrame([], out)
+
+
 # --------------------------------------------------------------------------
 # All pairs within a distance
 # --------------------------------------------------------------------------
@@ -232,7 +276,7 @@ def pairs_within(
     item: tuple[str, str] = ("id", "embedding"),
     metric: str = "cosine",
     block_rows: int | None = None,
-    max_pivots: int = 256,
+    max_pivots: int = 1024,
 ) -> DataFrame:
     """All pairs ``a < b`` with distance at most ``limit``: ``a, b, distance``.
 

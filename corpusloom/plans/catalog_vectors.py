@@ -118,6 +118,13 @@ def _(spark, d):
     return p.where(filters.by_distance(F.col("dist"), 0.5))
 
 
+@query("far_matches", "F9 C19", """SELECT a.vec_id AS q_id, b.vec_id AS id, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) + 0.0 AS distance
+    FROM embeddings a, embeddings b WHERE round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) > 1.2""")
+def _(spark, d):
+    e = vecs(spark, d)
+    return similarity.threshold_matches(e, e, 1.2, query=VEC, item=VEC)
+
+
 @query("pairs_within_distance", "J5", """SELECT a.vec_id AS a, b.vec_id AS b,
       round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) + 0.0 AS distance
     FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id

@@ -60,9 +60,11 @@ def ingest_records(
 ) -> DataFrame:
     """Ingest the files in ``records`` that the ledger does not list; returns their nodes with vectors.
 
-    Vectors are looked up before they are computed, nodes replace rows with
-    the same id, and the ledger is written last: a run that breaks off leaves
-    files unlisted, and the next run does them again with the same result.
+    Vectors are looked up before they are computed.  A node id is a digest of
+    the row, so replacing a row by id and skipping it give the same table, and
+    only new rows are appended.  The ledger is written last: a run that breaks
+    off leaves files unlisted, and the next run does them again with the same
+    result.
     """
     done = collection.read("files", schemas.LEDGER)
     fresh = store.without(records, done, "fname")
@@ -74,7 +76,7 @@ def ingest_records(
     new_vectors = vectors.where(~F.col("cached")).select(
         "id", F.lit(embedder.name).alias("model"), F.size("embedding").alias("dim"), "embedding")
     collection.append("vectors", new_vectors)
-    collection.upsert("nodes", unique, schemas.NODE)
+    collection.insert_new("nodes", unique, schemas.NODE)
     files = fresh.select("fname").distinct()
     collection.append("files", ledger_rows(files, nodes, int(time.time() * 1000)))
     return unique.join(vectors.select("id", "embedding"), "id")

@@ -43,6 +43,15 @@ def test_top_matches_both_paths(spark, points, metric):
         assert [r["id"] for r in a if r["q_id"] == q] == want
 
 
+@pytest.mark.parametrize("keep", ["farther", "nearer"])
+def test_threshold_matches(spark, points, keep):
+    v = vectors(spark, points)
+    d = np.round(similarity._distance(points, points, "cosine"), 6)
+    hit = d > 0.3 if keep == "farther" else d <= 0.3
+    got = similarity.threshold_matches(v, v, 0.3, keep=keep, query=("id", "embedding"), query_block=40).collect()
+    assert {(r["q_id"], r["id"]) for r in got} == set(zip(*map(list, np.nonzero(hit)))) and len(got) == hit.sum()
+
+
 @pytest.mark.parametrize("metric,limit", [("cosine", 0.1), ("L2", 0.5), ("L1", 1.2), ("Linf", 0.2)])
 def test_pairs_within(spark, points, metric, limit):
     v = vectors(spark, points)
