@@ -18,6 +18,7 @@ ELLIPSIS = "…"
 PREVIEW_PLACEHOLDER = " …"
 SHORTEN_PLACEHOLDER = " [...]"
 NOTE_TEMPLATE = "### {header}\n{body}"
+PASSAGE = "**Passage %d** — %s\n\n%s\n"
 DEFAULT_TITLE = "untitled"
 DEFAULT_HEADER_PATH = "/"
 QA_PROMPT = "Given Context: %s Give the best full answer amongst the option to question %s"
@@ -124,7 +125,7 @@ def citation_label(rank: Column, *candidates: Column) -> Column:
 
 
 def passage_block(rank: Column, label: Column, body: Column) -> Column:
-    return F.format_string("**Passage %d** — %s\n\n%s\n", rank.cast("int"), label, body)
+    return F.format_string(PASSAGE, rank.cast("int"), label, body)
 
 
 def iso_seconds(ts_ms: Column) -> Column:

@@ -14,7 +14,10 @@ from corpusloom.functions import text as tx
 from corpusloom.operators import labels
 from corpusloom.session import shuffle_width
 
+# Separators and headings of the exports.
 SEPARATOR = "\n\n"
+CLUSTER_HEADING = "# Cluster %s (%d)"
+CLUSTER_HEADING_NODES = "# Cluster %s (%d nodes)"
 SINGLE_FILE_ROWS = 100_000
 
 
@@ -35,7 +38,7 @@ def flat_blocks(nodes: DataFrame, order: str = "id", ascending: bool = True, inc
 
 def cluster_blocks(nodes: DataFrame, cluster: str = "cluster", titles: DataFrame | None = None,
                    within: str = "id", ascending: bool = True, include_metadata: bool = True,
-                   heading: str = "# Cluster %s (%d)", template: str = tx.NOTE_TEMPLATE) -> DataFrame:
+                   heading: str = CLUSTER_HEADING, template: str = tx.NOTE_TEMPLATE) -> DataFrame:
     """``cluster_rank, kind, sort_key, id, block``: largest cluster first, heading then notes."""
     ranks = labels.by_size(nodes, cluster)
     head = ranks if titles is None else ranks.join(titles, cluster, "left")
@@ -55,7 +58,7 @@ def cluster_blocks(nodes: DataFrame, cluster: str = "cluster", titles: DataFrame
 
 def cluster_blocks_n(nodes: DataFrame, titles: DataFrame | None = None, **options) -> DataFrame:
     """The variant whose heading reads ``(n nodes)``."""
-    return cluster_blocks(nodes, titles=titles, heading="# Cluster %s (%d nodes)", **options)
+    return cluster_blocks(nodes, titles=titles, heading=CLUSTER_HEADING_NODES, **options)
 
 
 def _order_of(blocks: DataFrame) -> list[Column]:
