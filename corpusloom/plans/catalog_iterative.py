@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import models
 from corpusloom.functions import text as tx
-from corpusloom.operators import agglomerate, labels, mixture, ranking, tree
+from corpusloom.operators import agglomerate, mixture, tree
 from corpusloom.plans import corpus, ingest, retrieval
 from corpusloom.plans.catalog_tables import labelled_vectors
 from corpusloom.plans.catalog_text import _conversation_records, doc_nodes

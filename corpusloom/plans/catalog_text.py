@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpusloom.functions import chunking, ids
 from corpusloom.functions import text as tx
-from corpusloom.operators import export, filters, labels, ordered, polish, profile, ranking, sectioning, store
+from corpusloom.operators import export, filters, ordered, polish, profile, ranking, sectioning, store
 from corpusloom.plans import registry as r
 from corpusloom.plans.registry import query, table, texts
 from corpusloom.sources import day_files, tables
