@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import katz
+from corpusloom.llm import katz, perplexity
 from corpusloom.llm.common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +27,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op3_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return katz.katz_scores(docs, remainder(F.col("doc_id"), 7) == 2).drop("chunk", "place")
+
+
+@query
+def op5_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.perplexity_rules(table(spark, sf_dir, "documents"))
