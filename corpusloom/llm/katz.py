@@ -128,7 +128,7 @@ def _bigrams(groups: int, hot_from: float, totals: dict):
         """Chunk rows (left) and the numbers and counts of their words (right)."""
         out = []
         for row in left.to_pylist():
-            n_words = len(row["words"])
+            n_words = row["n_words"]
             number, count = np.full(n_words + 1, _UNKNOWN, np.int64), np.zeros(n_words + 1, np.int64)
             at = right.column("pos").to_numpy()
             number[at], count[at] = right.column("number").to_numpy(), right.column("c").to_numpy()
@@ -305,13 +305,14 @@ def katz_scores(docs: DataFrame, held_out, text: str = "text", doc_id: str = "do
     groups = parts_for(spark, totals["n"], GROUP_TOKENS)
     hot_from = max(totals["n"] / (4 * groups), 10_000)
     asked = chunks.select(F.col("chunk").alias("of_chunk"), F.posexplode("words").alias("pos", "w"))
-    answers = asked.join(numbered, "w").select("of_chunk", "pos", "number", "c")
-    blobs = cut(chunks.select("chunk", "held", "lens", "tokens", "words").groupBy("chunk")
+    answers = cut(asked.join(numbered, "w").select("of_chunk", "pos", "number", "c"))
+    blobs = cut(chunks.select("chunk", "held", "lens", "tokens", F.size("words").alias("n_words")).groupBy("chunk")
                 .cogroup(answers.groupBy("of_chunk")).applyInArrow(_bigrams(groups, hot_from, totals), _BLOB))
     hot = [r["number"] for r in numbered.filter(F.col("c") >= hot_from).select("number").collect()]  # at most 4 * groups
     hot += [_FIRST] if texts >= hot_from else []
     chunk_rows = cut(chunks.select("chunk", "ids", "held"))
     drop_cut(chunks)
+    drop_cut(answers)
     found = blobs.filter("grp >= 0")
     model = cut(found.select("grp", "ctx", "word", "wc", "cnt").groupBy("grp").applyInArrow(_merge(dict.fromkeys(hot), uni), _MODEL))
     n_of = first_row(model.agg(*[F.sum(F.col("n_of")[r]) for r in range(K + 1)]))
