@@ -25,11 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import tokens as tk
-from corpusloom.llm.common import components, cut
+from corpusloom.llm.buckets import bucket_links, log_counts, members_of
+from corpusloom.llm.common import cut
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 14, 4          # recall 0.9991 at similarity 0.8
-BLOCK = 512                  # representatives of a bucket that one task compares with as many
+PROFILE = log_counts(SHINGLE)
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -54,11 +55,6 @@ def signatures(h: np.ndarray, row: np.ndarray, weight: np.ndarray, rows: int, m:
     return who.reshape(rows, m)
 
 
-def _profile(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    h, row, n = tk.weighted(*tk.shingles(tk.words(col), SHINGLE))
-    return h, row, 1 + np.log(n)
-
-
 _SIGNED = "doc_id long, body_a long, body_b long, bands array<long>"
 
 
@@ -67,7 +63,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         col, step = batch.column("text"), 1000
         for a in range(0, len(col), step):
             part = col.slice(a, step)
-            h, row, w = _profile(part)
+            h, row, w = PROFILE(part)
             n = len(part)
             sig = signatures(h, row, w, n, BANDS * ROWS)
             body = [np.zeros(n, np.uint64), np.zeros(n, np.uint64)]
@@ -87,68 +83,6 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.ListArray.from_arrays(offsets, pa.array(keys[some].reshape(-1).view(np.int64)))], ["doc_id", "body_a", "body_b", "bands"])
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Exact probability Jaccard of two weighted sets ``(sorted hashes, weights)``.
-
-    sum over the common items of 1 / sum_j max(a_j / a_i, b_j / b_i): with the
-    ratio r_j = b_j / a_j sorted, the inner sums are a suffix of b and a prefix
-    of a, so all of them cost one sort.
-    """
-    (ha, wa), (hb, wb) = a, b
-    both, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-    if not len(both):
-        return 0.0
-    x, y = wa[ia], wb[ib]
-    only_a, only_b = wa.sum() - x.sum(), wb.sum() - y.sum()
-    order = np.argsort(y / x, kind="stable")
-    x, y = x[order], y[order]
-    low = np.cumsum(x) + only_a                    # items whose ratio is at most this one's count by a
-    high = np.cumsum(y[::-1])[::-1] - y + only_b   # the rest by b
-    return float((1 / (low / x + high / y)).sum())
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for a in range(0, len(batch), 200):
-            left, right = _profile(batch.column("text_a").slice(a, 200)), _profile(batch.column("text_b").slice(a, 200))
-            n = min(200, len(batch) - a)
-            cl, cr = np.searchsorted(left[1], np.arange(n + 1)), np.searchsorted(right[1], np.arange(n + 1))
-            for i in range(n):
-                p, q = slice(cl[i], cl[i + 1]), slice(cr[i], cr[i + 1])
-                keep.append(similarity((left[0][p], left[2][p]), (right[0][q], right[2][q])) >= SIMILARITY - 1e-12)
-        mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
-
-
-def _blocks(left: pa.Table, right: pa.Table) -> pa.Table:
-    """All links between two blocks of one bucket; a pair already in one component is skipped."""
-    def load(t, side):
-        h, row, w = _profile(t.column(f"text_{side}"))
-        cuts = np.searchsorted(row, np.arange(t.num_rows + 1))
-        return t.column(f"id_{side}").to_pylist(), t.column(f"root_{side}").to_pylist(), [(h[i:j], w[i:j]) for i, j in zip(cuts, cuts[1:])]
-
-    ids_a, roots_a, sets_a = load(left, "a")
-    ids_b, roots_b, sets_b = load(right, "b")
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while parent.get(x, x) != x:
-            parent[x] = parent.get(parent[x], parent[x])
-            x = parent[x]
-        return x
-
-    out = []
-    for i, a in enumerate(ids_a):
-        for j, b in enumerate(ids_b):
-            if a == b or find(roots_a[i]) == find(roots_b[j]):
-                continue
-            if similarity(sets_a[i], sets_b[j]) >= SIMILARITY - 1e-12:
-                out.append((a, b))
-                parent[find(roots_a[i])] = find(roots_b[j])
-    return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
-
-
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id, rep_id, class_id, class_size``, a row for every row of ``docs``.
 
@@ -166,22 +100,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     alike = cut(signed.filter(counted).groupBy(*body).agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("n")))
     # Copies of a text have its bands; distinct pairs of band and representative are left.
     reps = signed.filter(counted).join(alike.select(F.col("rep_id").alias("doc_id")), "doc_id", "left_semi")
-    banded = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("band")).distinct()
-    full = banded.groupBy("band").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = cut(banded.join(full, "band"))
+    members = members_of(reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("band")).distinct())
     texts = rows.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = cut(texts.groupBy("doc_id").agg(F.min("text").alias("text")))
-    pairs = members.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    links = cut(_with_texts(pairs, texts).mapInArrow(_verify, "a long, b long"))
-    roots = components(links)
-    # Buckets that the leader did not join into one component.
-    rooted = members.join(roots, members["id"] == roots["node"], "left").select(
-        "band", "size", "id", F.coalesce("root", "id").alias("root"))
-    open_bands = rooted.filter("size > 2").groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    left = rooted.join(open_bands.select("band"), "band", "left_semi")
-    more = _within_buckets(left, texts)
-    links = links.union(more)
-    roots = components(links)
+    texts = cut(texts.groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("text")))
+    roots = bucket_links(members, texts, PROFILE, SIMILARITY)
     named = alike.join(roots, alike["rep_id"] == roots["node"], "left").select(
         *body, "rep_id", "n", F.coalesce("root", "rep_id").alias("class_id"))
     sizes = named.groupBy("class_id").agg(F.sum("n").alias("class_size"))
@@ -189,31 +111,3 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     found = signed.filter(counted).join(named, body).select("doc_id", "rep_id", "class_id", "class_size")
     alone = signed.filter(~counted).select("doc_id", F.col("doc_id").alias("rep_id"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return found.union(alone)
-
-
-def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
-
-
-def _within_buckets(left: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links inside buckets of several components.
-
-    Members of other components than the bucket's largest are few; each meets
-    all members, in blocks of bounded size on both sides.
-    """
-    sizes = left.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("total"))
-    left = left.join(main, "band")
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    number = F.pmod(F.xxhash64("id"), blocks("total"))
-    # A pair of outsiders is met once, from its larger side; with the main component an outsider always meets it.
-    outside = left.filter("root <> main").select("band", "id", "root", number.alias("x"), F.explode(F.sequence(F.lit(0), blocks("total") - 1)).alias("y"))
-    inside = left.select("band", "id", "root", number.alias("y"))
-    sides = outside.select("band", "x", "y").distinct()
-    inside = inside.join(sides, ["band", "y"])
-    text = texts.select(F.col("doc_id").alias("id"), "text")
-    a = outside.join(text, "id").select("band", "x", "y", F.col("id").alias("id_a"), F.col("root").alias("root_a"), F.col("text").alias("text_a"))
-    b = inside.join(text, "id").select(F.col("band").alias("band_b"), F.col("x").alias("x_b"), F.col("y").alias("y_b"), F.col("id").alias("id_b"), F.col("root").alias("root_b"), F.col("text").alias("text_b"))
-    return cut(a.groupBy("band", "x", "y").cogroup(b.groupBy("band_b", "x_b", "y_b")).applyInArrow(_blocks, "a long, b long"))
