@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import katz, langid, paragraphs, perplexity, probminhash
+from corpusloom.llm import katz, langid, paragraphs, perplexity, probminhash, quality
 from corpusloom.llm.common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,9 @@ def op4_paragraph_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", remainder(F.col("doc_id"), 4) == 2)
     return langid.predict_languages(docs, ~F.col("held_out")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op8_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.quality_scores(docs, labels, remainder(F.col("doc_id"), 4) == 2)
