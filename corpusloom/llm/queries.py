@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import katz, langid, paragraphs, perplexity, probminhash, quality
+from corpusloom.llm import katz, langid, packing, paragraphs, perplexity, probminhash, quality
 from corpusloom.llm.common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +55,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.quality_scores(docs, labels, remainder(F.col("doc_id"), 4) == 2)
+
+
+@query
+def op7_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_sequences(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
