@@ -306,12 +306,15 @@ def katz_scores(docs: DataFrame, held_out, text: str = "text", doc_id: str = "do
     hot_from = max(totals["n"] / (4 * groups), 10_000)
     asked = chunks.select(F.col("chunk").alias("of_chunk"), F.posexplode("words").alias("pos", "w"))
     answers = cut(asked.join(numbered, "w").select("of_chunk", "pos", "number", "c"))
-    blobs = cut(chunks.select("chunk", "held", "lens", "tokens", F.size("words").alias("n_words")).groupBy("chunk")
+    slim = cut(chunks.select("chunk", "ids", "held", "lens", "tokens", F.size("words").alias("n_words")))
+    drop_cut(chunks)
+    drop_cut(vocabulary)
+    blobs = cut(slim.select("chunk", "held", "lens", "tokens", "n_words").groupBy("chunk")
                 .cogroup(answers.groupBy("of_chunk")).applyInArrow(_bigrams(groups, hot_from, totals), _BLOB))
     hot = [r["number"] for r in numbered.filter(F.col("c") >= hot_from).select("number").collect()]  # at most 4 * groups
     hot += [_FIRST] if texts >= hot_from else []
-    chunk_rows = cut(chunks.select("chunk", "ids", "held"))
-    drop_cut(chunks)
+    chunk_rows = cut(slim.select("chunk", "ids", "held"))
+    drop_cut(slim)
     drop_cut(answers)
     found = blobs.filter("grp >= 0")
     model = cut(found.select("grp", "ctx", "word", "wc", "cnt").groupBy("grp").applyInArrow(_merge(dict.fromkeys(hot), uni), _MODEL))
