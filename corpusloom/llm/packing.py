@@ -30,6 +30,10 @@ CACHED = 300_000  # words a worker remembers
 _SPECIAL = "<|endoftext|>"
 
 
+class _SpaceRun(Exception):
+    """A space is followed by white space, so the text must not be split there."""
+
+
 class _Words(dict):
     """Token bytes of `` word`` by word, filled on demand."""
 
@@ -38,6 +42,8 @@ class _Words(dict):
         self.encode = encode
 
     def __missing__(self, word: str) -> bytes:
+        if not word or word[0].isspace():
+            raise _SpaceRun
         ids = self.encode(" " + word)
         if len(word) < 32 and "\n" not in word:
             if len(self) >= CACHED:
@@ -50,8 +56,8 @@ class _Words(dict):
 def _encoder(path: str):
     """Token ids of a text as little-endian 32-bit bytes, from a byte-level BPE file.
 
-    A text is split at single spaces, which its pre-tokenizer never joins over
-    and always gives to the next word; other texts are encoded as a whole.
+    A text is split at spaces before words, which its pre-tokenizer always
+    gives to the word; a text with other runs of white space is encoded whole.
     """
     import public_tokenizers
     import tiktoken
@@ -70,10 +76,11 @@ def _encoder(path: str):
     def encode(text: str) -> bytes:
         if _SPECIAL in text:
             return raw(slow.encode(text, add_special_tokens=False).ids)
-        if "  " in text or text[-1:] == " " or text[:1] == " ":
-            return raw(fast.encode_ordinary(text))
         first, *rest = text.split(" ")
-        return raw(fast.encode_ordinary(first)) + b"".join(map(words.__getitem__, rest))
+        try:
+            return raw(fast.encode_ordinary(first)) + b"".join(map(words.__getitem__, rest))
+        except _SpaceRun:
+            return raw(fast.encode_ordinary(text))
     return encode
 
 

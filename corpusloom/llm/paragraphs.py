@@ -159,11 +159,13 @@ def _erase(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """The documents without their removals; a document that loses all its words goes.
+    """The documents without their removals (``n_chars`` counted anew); a document that loses all its words goes.
 
     Documents without removals, null and empty texts among them, stay as they are.
     """
     spans = repeated_paragraphs(docs).filter("removed").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "length")).alias("_spans"))
     joined = cut(docs.join(spans, docs["doc_id"] == spans["_id"], "left").drop("_id"))
     erased = joined.filter("_spans is not null").mapInArrow(_erase, docs.schema)
+    if "n_chars" in docs.columns:
+        erased = erased.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return joined.filter("_spans is null").drop("_spans").union(erased.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")))
