@@ -32,6 +32,7 @@ from corpusloom.operators.ordered import arrange, number_rows
 K = 5                       # counts above this are not discounted
 CHUNK_TOKENS = 1_000_000    # a chunk closes at the first text that reaches this
 GROUP_TOKENS = 2_000_000    # training tokens per group of contexts
+LEAST_SPREAD = 10_000       # contexts seen less often are never spread over groups
 END = np.uint64(0x454E44)   # hash of the end token; words are never this short in bits
 _FIRST, _UNKNOWN = -2, -1   # numbers of the start context and of words not in the training texts
 
@@ -303,7 +304,7 @@ def katz_scores(docs: DataFrame, held_out, text: str = "text", doc_id: str = "do
     uni = Unigrams(totals["n"], [float(v) for v in s[2:]])
     numbered = number_rows(arrange(vocabulary, F.desc("c"), "w"), name="number").select("w", "c", "number")
     groups = parts_for(spark, totals["n"], GROUP_TOKENS)
-    hot_from = max(totals["n"] / (4 * groups), 10_000)
+    hot_from = max(totals["n"] / (4 * groups), LEAST_SPREAD)
     asked = chunks.select(F.col("chunk").alias("of_chunk"), F.posexplode("words").alias("pos", "w"))
     answers = cut(asked.join(numbered, "w").select("of_chunk", "pos", "number", "c"))
     slim = cut(chunks.select("chunk", "ids", "held", "lens", "tokens", F.size("words").alias("n_words")))
