@@ -67,17 +67,27 @@ def by_size(df: DataFrame, cluster: str = "cluster") -> DataFrame:
     return ordered.number_rows(placed, name="cluster_rank").select(cluster, "n", "cluster_rank")
 
 
-def concat_texts(df: DataFrame, cluster: str = "cluster", order: list[str] = ("id",), sep: str = "\n\n",
-                 rows_per_part: int = 1000) -> DataFrame:
-    """All texts of a cluster in order, in parts of bounded row count."""
-    return ordered.concat_parts(df, [cluster], list(order), F.col("text"), sep, rows_per_part)
+def concat_texts(df: DataFrame, cluster: str = "cluster", order: list[str] = ("id",), sep: str = "\n\n") -> DataFrame:
+    """The texts of a cluster in order, as one text: ``cluster, text, n_rows``."""
+    return ordered.whole_texts(ordered.concat_parts(df, [cluster], list(order), F.col("text"), sep), [cluster], sep)
 
 
 def polish(df: DataFrame, summarize=None, max_tokens: int = 150, cluster: str = "cluster",
-           order: list[str] = ("id",)) -> DataFrame:
-    """Cluster text; with a summariser, a summary of each part instead."""
-    parts = concat_texts(df, cluster, order)
-    return parts if summarize is None else parts.withColumn("text", summarize(F.col("text"), max_tokens))
+           order: list[str] = ("id",), rows_per_part: int = 1000) -> DataFrame:
+    """Cluster text; with a summariser, one summary of it instead.
+
+    A cluster of more than ``rows_per_part`` rows is summarised in parts, and
+    the summaries of the parts are summarised once more.
+    """
+    if summarize is None:
+        return concat_texts(df, cluster, order)
+    sep = "\n\n"
+    parts = ordered.concat_parts(df, [cluster], list(order), F.col("text"), sep, rows_per_part)
+    parts = parts.withColumn("text", summarize(F.col("text"), max_tokens))
+    several = parts.groupBy(cluster).agg(F.count(F.lit(1)).alias("_parts"))
+    joined = cut_lineage(ordered.whole_texts(parts, [cluster], sep).join(several, cluster))
+    again = joined.where("_parts > 1").withColumn("text", summarize(F.col("text"), max_tokens))
+    return joined.where("_parts = 1").unionByName(again).drop("_parts")
 
 
 def stub_titles(df: DataFrame, cluster: str = "cluster", order: list[str] = ("id",), chars: int = 50) -> DataFrame:

@@ -120,3 +120,9 @@ def concat_parts(
         ).alias("text"),
         F.count(F.lit(1)).alias("n_rows"),
     )
+
+
+def whole_texts(parts: DataFrame, keys: list[str], sep: str) -> DataFrame:
+    """One row per key from the parts of ``concat_parts``: ``keys, text, n_rows``."""
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda s: s["text"])
+    return parts.groupBy(*keys).agg(F.array_join(pieces, sep).alias("text"), F.sum("n_rows").alias("n_rows"))

@@ -215,6 +215,10 @@ def _distance(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.maximum(-_scores(a, b, "cosine_distance" if metric == "cosine" else metric), 0.0)
 
 
+# Block numbers of a cell stay below this, whatever the size of the cell.
+_BLOCKS_PER_CELL = 1 << 40
+
+
 def _assign(batches, pivots, metric):
     for pdf in batches:
         if len(pdf):
@@ -231,13 +235,13 @@ def _route(batches, pivots, metric, reach, radius, parts, active):
         gaps = _gap(matrix(pdf["vec"]), pivots, metric)
         home = pdf["home"].to_numpy()
         sub = (pdf["salt"].to_numpy() % parts[home]).astype(np.int64)
-        own = home.astype(np.int64) * (1 << 20) + sub
+        own = home.astype(np.int64) * _BLOCKS_PER_CELL + sub
         ok = active[home] & (gaps <= radius[None, :] + reach + 1e-9)
         ok[np.arange(len(pdf)), home] = True
         for cell in np.nonzero(ok.any(axis=0))[0]:
             rows = np.nonzero(ok[:, cell])[0]
             for s in range(parts[cell]):
-                other = np.int64(cell) * (1 << 20) + s
+                other = np.int64(cell) * _BLOCKS_PER_CELL + s
                 mine = own[rows]
                 yield pd.DataFrame({
                     "bi": np.minimum(mine, other), "bj": np.maximum(mine, other),
@@ -288,7 +292,7 @@ def pairs_within(
     """
     v = vectors.select(F.col(item[0]).alias("id"), F.col(item[1]).alias("vec")).where("vec is not null")
     id_type = v.schema["id"].dataType
-    v = v.withColumn("salt", F.abs(F.hash("id")).cast("bigint"))
+    v = v.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(1 << 31)))
     head = v.select(F.size("vec").alias("d")).first()
     empty = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type),
                           T.StructField("distance", T.DoubleType())])

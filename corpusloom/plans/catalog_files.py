@@ -11,7 +11,7 @@ from corpusloom.functions import text as tx
 from corpusloom.operators import polish, store
 from corpusloom.plans import corpus
 from corpusloom.plans import registry as r
-from corpusloom.plans.catalog_iterative import EMBEDDER, SWEEP, _tree
+from corpusloom.plans.catalog_iterative import EMBEDDER, _tree
 from corpusloom.plans.registry import query, table
 from corpusloom.session import ensure_checkpoint_dir
 from corpusloom.sources import concatenated, day_files, tables
@@ -34,7 +34,7 @@ def _records(spark, d):
 def _day_folder(spark, d) -> str:
     """All conversations as JSON Lines files."""
     folder = _scratch(spark, "days")
-    _records(spark, d).repartition(4, "conversation_id").write.json(folder)
+    _records(spark, d).repartition("conversation_id").write.json(folder)
     return folder
 
 
@@ -62,7 +62,7 @@ def _(spark, d):
 @query("concatenated_objects", "S3 T3", """SELECT conv_id::VARCHAR AS conversation_id, conv_id || '-' || turn AS id, role, text AS content FROM conversations""")
 def _(spark, d):
     folder = _scratch(spark, "joined")
-    rows = _records(spark, d).repartition(4, "conversation_id").select(F.to_json(F.struct("*")).alias("value"))
+    rows = _records(spark, d).repartition("conversation_id").select(F.to_json(F.struct("*")).alias("value"))
     rows.write.option("lineSep", " ").text(folder)
     return concatenated.read_records(spark, folder).select("conversation_id", "id", "role", "content")
 
@@ -111,5 +111,5 @@ def _(spark, d):
 
 @query("built_corpus", "C28")
 def _(spark, d):
-    built = corpus.build_corpus(spark, _day_folder(spark, d), _scratch(spark, "corpus"), EMBEDDER, glob=GLOB, **SWEEP)
+    built = corpus.build_corpus(spark, _day_folder(spark, d), _scratch(spark, "corpus"), EMBEDDER, glob=GLOB)
     return built.nodes.groupBy("layer").agg(F.count(F.lit(1)).alias("n_nodes"))

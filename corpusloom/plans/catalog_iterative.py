@@ -15,8 +15,6 @@ from corpusloom.session import cut_lineage
 
 CUT = 0.7
 EMBEDDER = models.HashEmbedder(64)
-# A narrow sweep keeps the runs of the catalog short; the default is 50.
-SWEEP = {"max_components": 8, "passes": 8}
 
 
 @query("single_linkage_clusters", "C13", """WITH RECURSIVE e AS (SELECT a.vec_id x, b.vec_id y FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
@@ -60,39 +58,61 @@ def _points(spark, d):
     return labelled_vectors(spark, d).select(F.col("id").alias("node_id"), "embedding")
 
 
+def _doc_points(spark, d):
+    """Hash embeddings of all documents: vectors with structure (languages, copies, templates)."""
+    docs = texts(spark, d).select(F.col("doc_id").alias("node_id"), "text")
+    return cut_lineage(docs.select("node_id", tx.tokens_ceil(F.col("text")).alias("tokens"), EMBEDDER(F.col("text")).alias("embedding")))
+
+
 @query("reduced_vectors", "C9")
 def _(spark, d):
-    x = mixture.reduce_dimensions(_points(spark, d))
-    return x.select("node_id", F.size("x").alias("dim"))
+    return mixture.reduce_dimensions(_points(spark, d)).select("node_id", F.posexplode("x").alias("axis", "value"))
 
 
 @query("mixture_labels", "C10 F10 A11")
 def _(spark, d):
-    x = cut_lineage(mixture.reduce_dimensions(_points(spark, d)))
-    return mixture.soft_labels(x.withColumn("problem", F.lit(0).cast("bigint")), **SWEEP).select("node_id", "label")
+    x = cut_lineage(mixture.reduce_dimensions(_doc_points(spark, d)))
+    return mixture.soft_labels(x.withColumn("problem", F.lit(0).cast("bigint"))).select("node_id", "label")
 
 
 @query("two_level_clusters", "C11 U5")
 def _(spark, d):
-    v = _points(spark, d).withColumn("problem", F.lit(0).cast("bigint"))
-    return mixture.two_level(v, **SWEEP).select("node_id", "cluster")
+    v = _doc_points(spark, d).withColumn("problem", F.lit(0).cast("bigint"))
+    return mixture.two_level(v).select("node_id", "cluster")
 
 
 @query("token_bounded_clusters", "C12 X4")
 def _(spark, d):
-    t = table(spark, d, "documents").select(F.col("doc_id").alias("node_id"), tx.tokens_ceil(F.col("text")).alias("tokens"))
-    return mixture.bounded_clusters(_points(spark, d).join(t, "node_id"), **SWEEP)
+    return mixture.bounded_clusters(_doc_points(spark, d))
+
+
+@query("token_bound_holds", "C12", """SELECT count(*) AS n_documents, 0::BIGINT AS n_lost, 0::BIGINT AS n_over_the_bound, true AS several_clusters
+    FROM documents WHERE text IS NOT NULL""")
+def _(spark, d):
+    """What every bounded clustering must keep: all documents, and no cluster of several over the bound."""
+    points = _doc_points(spark, d)
+    found = mixture.bounded_clusters(points)
+    cells = found.join(points.select("node_id", "tokens"), "node_id").groupBy("cluster").agg(
+        F.sum("tokens").alias("total"), F.count(F.lit(1)).alias("n"))
+    over = (F.col("total") > mixture.MAX_CLUSTER_TOKENS) & (F.col("n") > 1)
+    kept = found.agg(F.count_distinct("node_id").alias("kept"))
+    return points.agg(F.count(F.lit(1)).alias("n_documents")).crossJoin(kept).crossJoin(cells.agg(  # single rows
+        F.count(F.when(over, 1)).alias("n_over_the_bound"), (F.count(F.lit(1)) > 1).alias("several_clusters"))).select(
+        "n_documents", (F.col("n_documents") - F.col("kept")).alias("n_lost"), "n_over_the_bound", "several_clusters")
 
 
 _TREES: dict[tuple[str, str], tree.Tree] = {}
 
 
 def _tree(spark, d):
-    """The corpus tree; its tables are written once per application and read by every search."""
+    """The corpus tree; its tables are written once per application and read by every search.
+
+    Numbers depend on members alone, so it is the same tree whichever query builds it.
+    """
     key = (spark.sparkContext.applicationId, d)
     if key not in _TREES:
         docs = texts(spark, d).select("doc_id", "text")
-        _TREES[key] = tree.build(tree.leaves(docs, EMBEDDER), EMBEDDER, **SWEEP)
+        _TREES[key] = tree.build(tree.leaves(docs, EMBEDDER), EMBEDDER)
     return _TREES[key]
 
 

@@ -159,9 +159,8 @@ def _(spark, d):
     return polish.line_changes(docs)
 
 
-@query("polished_documents", "P19", f"""WITH n AS (SELECT source fname, doc_id id, {r.clean('text')} t,
-    (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 1000 AS part FROM documents)
-    SELECT fname, part::BIGINT AS part, string_agg(t, chr(10) || chr(10) ORDER BY id) AS text, count(*) AS n_rows FROM n GROUP BY ALL""")
+@query("polished_documents", "P19", f"""WITH n AS (SELECT source fname, doc_id id, {r.clean('text')} t FROM documents)
+    SELECT fname, string_agg(t, chr(10) || chr(10) ORDER BY id) AS text, count(*) AS n_rows FROM n GROUP BY fname""")
 def _(spark, d):
     return polish.polish_documents(doc_nodes(spark, d))
 
