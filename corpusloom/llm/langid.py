@@ -73,7 +73,7 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(rows: DataFrame) -> Model:
-    """Fit on ``doc_id, text, lang``: for each of the 64 most frequent languages the 1024 rows first in hash order.
+    """Fit on ``doc_id, text, lang``: for each of the 64 most frequent languages up to 1024 rows, chosen by hash.
 
     That bound concerns fitting only.  The driver gets presence bits of 4 kB a row.
     """
@@ -82,8 +82,12 @@ def fit(rows: DataFrame) -> Model:
         top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
         if not top:
             return Model([], np.zeros((CELLS, 0), np.float32))
-        order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id")), "doc_id", F.xxhash64("text"))
-        own = rows.filter(F.col("lang").isin([r["lang"] for r in top])).withColumn("turn", F.row_number().over(order))
+        # A share of each language, by hash, with about twice the rows wanted: no language's rows meet in one task.
+        share = F.create_map(*[F.lit(x) for r in top for x in (r["lang"], min(1.0, 2 * PER_LANGUAGE / r["count"]))])
+        mark = F.xxhash64("doc_id", "text")
+        own = rows.filter(F.pmod(mark, F.lit(1 << 31)) < F.element_at(share, F.col("lang")) * F.lit(float(1 << 31)))
+        order = Window.partitionBy("lang").orderBy("_mark", "doc_id")
+        own = own.withColumn("_mark", mark).withColumn("turn", F.row_number().over(order))
         got = own.filter(F.col("turn") <= PER_LANGUAGE).select("lang", "turn", "text").mapInArrow(_bits, "lang string, turn int, bits binary").toArrow()
     order = np.lexsort((np.array(got.column("lang").to_pylist()), got.column("turn").to_numpy()))
     names, bits = got.column("lang").take(pa.array(order)).to_pylist(), got.column("bits").take(pa.array(order)).to_pylist()
