@@ -112,10 +112,9 @@ def top_terms(df: DataFrame, k: int = 5, cluster: str = "cluster", text: str = "
     tf = terms.groupBy(cluster, "term").agg(F.count(F.lit(1)).alias("tf"))
     n = df.select(cluster).distinct().agg(F.count(F.lit(1)).alias("n_clusters"))
     df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # ``n`` is a single row, used as a scalar subquery.
-    total = n.first()["n_clusters"]
-    score = F.round(F.col("tf") * F.ln((1 + F.lit(total)) / (1 + F.col("df"))), 6) + F.lit(0.0)
-    scored = tf.join(df_, "term").select(cluster, "term", "tf", score.alias("score"))
+    score = F.round(F.col("tf") * F.ln((1 + F.col("n_clusters")) / (1 + F.col("df"))), 6) + F.lit(0.0)
+    scored = tf.join(df_, "term").crossJoin(F.broadcast(n)).select(  # one row
+        cluster, "term", "tf", score.alias("score"))
     w = Window.partitionBy(cluster).orderBy(F.desc("score"), F.asc("term"))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

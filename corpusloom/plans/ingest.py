@@ -17,6 +17,7 @@ from corpusloom.sources import day_files
 
 ORDER = ["timestamp", "id"]
 Parser = Callable[[DataFrame], DataFrame]
+Upsert = Callable[[store.Collection, DataFrame], None]
 
 
 def markdown_sections(records: DataFrame, order: list[str] = ORDER, max_chars: int | None = None) -> DataFrame:
@@ -56,7 +57,7 @@ def ledger_rows(files: DataFrame, nodes: DataFrame, now_ms: int) -> DataFrame:
 def ingest_records(
     records: DataFrame, collection: store.Collection, *, embedder: models.Embedder,
     parser: Parser | None = None, order: list[str] = ORDER, skip_single_line: bool = True,
-    max_chars: int | None = filters.MAX_CHARS,
+    max_chars: int | None = filters.MAX_CHARS, upsert: Upsert | None = None,
 ) -> DataFrame:
     """Ingest the files in ``records`` that the ledger does not list; returns their nodes with vectors.
 
@@ -64,7 +65,7 @@ def ingest_records(
     the row, so replacing a row by id and skipping it give the same table, and
     only new rows are appended.  The ledger is written last: a run that breaks
     off leaves files unlisted, and the next run does them again with the same
-    result.
+    result.  ``upsert(collection, nodes)`` takes the place of the insert.
     """
     done = collection.read("files", schemas.LEDGER)
     fresh = store.without(records, done, "fname")
@@ -76,11 +77,24 @@ def ingest_records(
     new_vectors = vectors.where(~F.col("cached")).select(
         "id", F.lit(embedder.name).alias("model"), F.size("embedding").alias("dim"), "embedding")
     collection.append("vectors", new_vectors)
-    collection.insert_new("nodes", unique, schemas.NODE)
+    if upsert:
+        upsert(collection, unique)
+    else:
+        collection.insert_new("nodes", unique, schemas.NODE)
     files = fresh.select("fname").distinct()
     collection.append("files", ledger_rows(files, nodes, int(time.time() * 1000)))
     return unique.join(vectors.select("id", "embedding"), "id")
 
 
-def ingest_folder(spark, folder: str, collection: store.Collection, **options) -> DataFrame:
-    return ingest_records(day_files.read_records(spark, folder), collection, **options)
+def unlisted_files(spark, folder: str, collection: store.Collection, glob: str = day_files.FILE_GLOB) -> list[str]:
+    """Paths of the files that the ledger does not list.  Both are compared by name before anything is read."""
+    files = spark.createDataFrame(day_files.list_files(spark, folder, glob), "fname string, path string")
+    fresh = store.without(files, collection.read("files", schemas.LEDGER), "fname")
+    return sorted(r["path"] for r in fresh.select("path").collect())
+
+
+def ingest_folder(spark, folder: str, collection: store.Collection, glob: str = day_files.FILE_GLOB, **options) -> DataFrame:
+    """Ingest the new files of a folder; files the ledger lists are not opened."""
+    paths = unlisted_files(spark, folder, collection, glob)
+    records = day_files.read_records(spark, paths, glob) if paths else day_files.no_records(spark)
+    return ingest_records(records, collection, **options)

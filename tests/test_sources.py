@@ -62,9 +62,15 @@ def test_ingest_is_idempotent(spark, day_clean, tmp_path):
     nodes = coll.read("nodes", schemas.NODE)
     assert n == 4 and nodes.count() == 4
     assert {r["header_path"] for r in nodes.collect()} == {"/2025-01-02/t1/", "/2025-01-02/t3/", "/2025-01-02/t4/", "/2025-01-02/t3/2025-06-15T15:06:43/"}
+    assert ingest.unlisted_files(spark, str(day_clean), coll) == []
     assert ingest.ingest_folder(spark, str(day_clean), coll, embedder=EMB).count() == 0
     put(day_clean, "2025-01-03.jsonl", [record(9, "new\nday")])
-    assert ingest.ingest_folder(spark, str(day_clean), coll, embedder=EMB).count() == 1
+    assert [p.rsplit("/", 1)[-1] for p in ingest.unlisted_files(spark, str(day_clean), coll)] == ["2025-01-03.jsonl"]
+    taken = []
+    def upsert(collection, nodes):
+        taken.append(nodes.count())
+        collection.insert_new("nodes", nodes, schemas.NODE)
+    assert ingest.ingest_folder(spark, str(day_clean), coll, embedder=EMB, upsert=upsert).count() == 1 and taken == [1]
     assert coll.read("nodes", schemas.NODE).count() == 5 and coll.read("vectors", schemas.VECTOR).count() == 5
     assert {r["fname"]: r["n_nodes"] for r in coll.read("files", schemas.LEDGER).collect()} == {"2025-01-02.jsonl": 4, "2025-01-03.jsonl": 1}
 
