@@ -9,7 +9,7 @@ from corpusloom.functions import text as tx
 from corpusloom.operators import agglomerate, mixture, tree
 from corpusloom.plans import corpus, ingest, retrieval
 from corpusloom.plans.catalog_tables import labelled_vectors
-from corpusloom.plans.catalog_text import _conversation_records, doc_nodes
+from corpusloom.plans.catalog_text import CHUNKS_SQL, _conversation_records, doc_nodes
 from corpusloom.plans.registry import query, table, texts
 from corpusloom.session import cut_lineage
 
@@ -120,7 +120,8 @@ def _questions(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("question"))
 
 
-@query("tree_leaves", "C18 W17 S12")
+@query("tree_leaves", "C18 W17 S12", f"""SELECT row_number() OVER (ORDER BY doc_id, chunk_no) - 1 AS node_id, 0 AS layer, text
+    FROM ({CHUNKS_SQL})""")
 def _(spark, d):
     docs = texts(spark, d).select("doc_id", "text")
     return tree.leaves(docs, EMBEDDER).select("node_id", "layer", "text")

@@ -325,7 +325,7 @@ def _(spark, d):
 
 # Chunks and sections --------------------------------------------------------
 
-@query("text_chunks", "C3 C4 C18", f"""WITH RECURSIVE s AS (
+CHUNKS_SQL = f"""WITH RECURSIVE s AS (
       SELECT doc_id, generate_subscripts(string_split_regex(text, '[.!?\\n]'), 1) i, unnest(string_split_regex(text, '[.!?\\n]')) s FROM documents),
     k AS (SELECT doc_id, i, s, {r.tokens("(' ' || s)")} n FROM s WHERE {r.strip('s')} <> ''),
     u AS (SELECT doc_id, i, 0 j, s t, n, 0 seg FROM k WHERE n <= 100
@@ -335,7 +335,10 @@ def _(spark, d):
     f AS (SELECT doc_id, p, t, n AS len, seg, 0::BIGINT AS c FROM o WHERE p = 1
       UNION ALL SELECT o.doc_id, o.p, o.t, CASE WHEN o.seg <> f.seg OR f.len + o.n > 100 THEN o.n ELSE f.len + o.n END, o.seg,
         CASE WHEN o.seg <> f.seg OR f.len + o.n > 100 THEN f.c + 1 ELSE f.c END FROM f JOIN o ON o.doc_id = f.doc_id AND o.p = f.p + 1)
-    SELECT doc_id, c::INT AS chunk_no, string_agg(t, ' ' ORDER BY p) AS text FROM f GROUP BY doc_id, c""")
+    SELECT doc_id, c::INT AS chunk_no, string_agg(t, ' ' ORDER BY p) AS text FROM f GROUP BY doc_id, c"""
+
+
+@query("text_chunks", "C3 C4 C18", CHUNKS_SQL)
 def _(spark, d):
     docs = texts(spark, d)
     return chunking.explode_chunks(docs, chunking.split_text(F.col("text")), "doc_id")
