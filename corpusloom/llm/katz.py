@@ -33,7 +33,7 @@ K = 5                       # counts above this are not discounted
 CHUNK_TOKENS = 1_000_000    # a chunk closes at the first text that reaches this
 GROUP_TOKENS = 2_000_000    # training tokens per group of contexts
 LEAST_SPREAD = 10_000       # contexts seen less often are never spread over groups
-END = np.uint64(0x454E44)   # hash of the end token; words are never this short in bits
+END = np.uint64(0x454E44)   # stands for the end of a text among the word hashes
 _FIRST, _UNKNOWN = -2, -1   # numbers of the start context and of words not in the training texts
 
 

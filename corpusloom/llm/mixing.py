@@ -60,8 +60,8 @@ def schedule(docs: DataFrame, parts: DataFrame | None = None, doc_id: str = "doc
     ``place`` is the text's first character in its source's stream, ``block``
     the block of that character, the other three are slots.  ``parts(source,
     parts)`` sets weights; by default they go with the square root of the
-    source's amount.  A null source is the source ````; a null or empty text
-    takes one character; a null id comes first; repeated rows each take their
+    source's amount.  A null source counts as the empty name; a null or empty
+    text takes one character; a null id comes first; repeated rows each take their
     place; other columns are ignored; an empty table gives an empty one.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"),
