@@ -1,13 +1,16 @@
 """Repeated paragraphs and passages across documents.
 
-Two kinds of paragraph are compared.  *Lines* are compared by MinHash banding:
-lines that share a band are verified by exact Jaccard similarity of their
-five-word shingles.  *Passages* cover repeats that begin and end inside lines:
-a text is cut before every word whose hash is the least among its neighbours,
-so the same passage is cut at the same words wherever it stands, and pieces
-are compared for equality (the last band: all shingles in order).  A class is
-a component of these links.  The document with the smallest id keeps a class;
-in every other document its paragraphs are removals.
+Two kinds of text are compared.  *Paragraphs*, single lines and hard-wrapped
+blocks between blank lines, are compared by MinHash banding: those that share
+a band are verified by exact Jaccard similarity of their five-word shingles,
+and a class is a component of these links.  *Passages* are word windows that
+stand in several documents, whatever lines they lie in.  Each window of 12
+words that has the least hash among 40 neighbouring windows is a seed, so any
+two copies of 51 words share one and no stretch of a copy is farther than 39
+words from the next.  All windows that near to a shared seed are then compared,
+so a passage reaches exactly from its first to its last repeated word.  The
+document with the smallest id keeps a class or window; in every other document
+it is a removal.
 """
 
 from __future__ import annotations
@@ -22,45 +25,73 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import tokens as tk
 from corpusloom.llm.buckets import bucket_links, members_of, plain_sets
-from corpusloom.llm.common import cut
+from corpusloom.llm.common import cut, drop_cut
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 4       # recall 0.995 at similarity 0.8
 LINE_WORDS = 12           # shorter lines are not paragraphs
-REACH = 5                 # a cut has the least hash among so many words on either side
-PIECE_WORDS, RUN_WORDS = 6, 12  # words of a piece, and of a run of neighbouring repeated pieces, at least
+WRAP_CHARS = 120          # a block of which a line is longer is not hard-wrapped: its lines are paragraphs
+WINDOW, NEAR = 12, 40     # words of a window, windows of which one is a seed: WINDOW + NEAR - 1 = 51 repeated words are found for certain
+THIN = 32                 # of equal seeds in a row about one in so many words stays (periodic text)
 _SEEDS = tk.mix(np.arange(1000, 1000 + BANDS * ROWS, dtype=np.uint64)) | np.uint64(1)
 
 _UNITS = "doc_id long, kind int, pos int, n_words int, start int, length int, body long, bands array<long>"
 
 
-def _spans(w: tk.Words, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number of words and hash of the spans that begin at the words ``first`` and end before the next."""
-    n = np.diff(np.append(first, len(w.hash)))
+def _bodies(w: tk.Words, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Hashes of the spans of ``n`` words that begin at the words ``first``."""
     if not len(first):
-        return n, np.zeros(0, np.uint64)
-    pos = np.arange(len(w.hash)) - np.repeat(first, n)
-    body = np.add.reduceat(w.hash * tk.powers(int(n.max()))[pos], first)
-    return n, tk.mix(body ^ n.astype(np.uint64) * tk.BYTE_CODES[9])
-
-
-def _cuts(w: tk.Words, row: np.ndarray) -> np.ndarray:
-    """Words that begin a piece: the first of a text and those with the least hash around."""
-    v = w.hash.copy()
-    v[:-1] += w.hash[1:] * tk.BYTE_CODES[7]
-    v = tk.mix(v)
-    least = np.ones(len(v), bool)
-    for j in range(1, REACH + 1):
-        same = row[j:] == row[:-j]
-        least[j:] &= (v[j:] < v[:-j]) | ~same
-        least[:-j] &= (v[:-j] <= v[j:]) | ~same
-    # One word over and over has no least hash: such a run is cut at its start and after every 16 words.
-    turn = np.flatnonzero(np.concatenate([[True], (w.hash[1:] != w.hash[:-1]) | (row[1:] != row[:-1])]))
-    n = np.diff(np.append(turn, len(v)))
-    inside = np.arange(len(v)) - np.repeat(turn, n)
-    least |= (inside % 16 == 0) & (np.repeat(n, n) >= 16)
-    least[np.unique(w.bounds[:-1][w.counts > 0])] = True
-    return np.flatnonzero(least)
+        return np.zeros(0, np.uint64)
+    begin = np.cumsum(n) - n
+    pos = np.arange(int(n.sum())) - np.repeat(begin, n)
+    body = np.add.reduceat(w.hash[pos + np.repeat(first, n)] * tk.powers(int(n.max()))[pos], begin)
+    return tk.mix(body ^ n.astype(np.uint64) * tk.BYTE_CODES[9])
+
+
+def _sliding(v: np.ndarray, n: int, least) -> np.ndarray:
+    """``least`` (np.minimum or np.maximum) of every ``n`` neighbours, by their first."""
+    out, size = v, 1
+    while size < n:
+        step = min(size, n - size)
+        out = least(out[:-step], out[step:])
+        size += step
+    return out
+
+
+def _seeds(w: tk.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first word of the windows that have the least hash among ``NEAR`` neighbours of their text."""
+    h, first = tk.windows(w, WINDOW)
+    if not len(h):
+        return h, first
+    row = w.row[first]
+    start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    n = np.diff(np.append(start, len(h)))
+    chosen = (h == np.repeat(np.minimum.reduceat(h, start), n)) & np.repeat(n < NEAR, n)
+    if len(h) >= NEAR:
+        low = _sliding(h, NEAR, np.minimum)
+        low[row[NEAR - 1:] != row[:len(low)]] = 0
+        none = np.zeros(NEAR - 1, np.uint64)
+        chosen |= (h == _sliding(np.concatenate([none, low, none]), NEAR, np.maximum)) & np.repeat(n >= NEAR, n)
+    at = np.flatnonzero(chosen)
+    # Gaps of at most THIN + NEAR words stay, which windows within NEAR - 1 words of a seed fill.
+    same = (h[at][1:] == h[at][:-1]) & (row[at][1:] == row[at][:-1]) & (np.diff(at) <= NEAR)
+    chain = np.flatnonzero(np.concatenate([[True], ~same]))
+    size = np.diff(np.append(chain, len(at)))
+    turn = (at - np.repeat(at[chain], size)) // THIN
+    keep = np.concatenate([[True], ~same | (turn[1:] != turn[:-1])])
+    keep[chain + size - 1] = True
+    return h[at[keep]], first[at[keep]]
+
+
+def _blocks(w: tk.Words, row: np.ndarray, line: np.ndarray, new: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word and number of words of the hard-wrapped paragraphs: two lines or more between blank lines, none of them long."""
+    begin = np.flatnonzero(np.concatenate([[True], (line[1:] > line[:-1] + 1) | (row[1:] != row[:-1])]))
+    lines = np.flatnonzero(new)
+    last = np.append(lines[1:], len(row)) - 1
+    width = chars[w.end[last]] - chars[w.start[lines]]
+    of = np.searchsorted(lines, begin)
+    fits = (np.maximum.reduceat(width, of) <= WRAP_CHARS) & (np.diff(np.append(of, len(lines))) > 1)
+    return begin[fits], np.diff(np.append(begin, len(row)))[fits]
 
 
 def _bands(w: tk.Words, first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -91,15 +122,18 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chars = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
             line = np.cumsum(w.data == 10)[w.start]
             new = np.concatenate([[True], (line[1:] != line[:-1]) | (row[1:] != row[:-1])])
-            parts = []
-            for kind, first in ((0, np.flatnonzero(new)), (1, _cuts(w, row))):
-                n, body = _spans(w, first)
-                keep = n >= (LINE_WORDS if kind == 0 else PIECE_WORDS)
-                parts.append((np.full(int(keep.sum()), kind), first[keep], n[keep], body[keep]))
-            kind, first, n, body = (np.concatenate([p[i] for p in parts]) for i in range(4))
+            lines = np.flatnonzero(new)
+            blocks, sizes = _blocks(w, row, line, new, chars)
+            first, n = np.concatenate([lines, blocks]), np.concatenate([np.diff(np.append(lines, len(row))), sizes])
+            form, keep = np.repeat([0, 2], [len(lines), len(blocks)]), n >= LINE_WORDS
+            first, n, form = first[keep], n[keep], form[keep]
+            keys = _bands(w, first, n) if len(first) else np.zeros((0, BANDS), np.uint64)
+            seed, at = _seeds(w)
+            body = np.concatenate([_bodies(w, first, n), seed])
+            kind = np.concatenate([form, np.ones(len(seed), int)])
+            first, n = np.concatenate([first, at]), np.concatenate([n, np.full(len(seed), WINDOW)])
             last, text_at = first + n - 1, w.offsets[row[first]]
-            keys = _bands(w, parts[0][1], parts[0][2]) if len(parts[0][1]) else np.zeros((0, BANDS), np.uint64)
-            offsets = np.concatenate([[0], np.cumsum((kind == 0) * BANDS)]).astype(np.int32)
+            offsets = np.concatenate([[0], np.cumsum((kind != 1) * BANDS)]).astype(np.int32)
             ints = lambda x: pa.array(x.astype(np.int32))
             yield pa.RecordBatch.from_arrays([
                 pc.take(batch.column("doc_id").slice(a, 1000), pa.array(row[first])), ints(kind), ints(first - w.bounds[row[first]]), ints(n),
@@ -107,19 +141,68 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1).view(np.int64)))], names=[x.split()[0] for x in _UNITS.split(", ")])
 
 
+_WINDOWS = "doc_id long, pos int, start int, stop int, body long"
+
+
+def _near_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All windows within ``NEAR - 1`` words of the given seeds."""
+    for batch in batches:
+        for a in range(0, len(batch), 200):
+            part = batch.slice(a, 200)
+            w = tk.words(part.column("text"))
+            h, first = tk.windows(w, WINDOW)
+            if not len(h):
+                continue
+            seeds = part.column("seeds")
+            row = np.repeat(np.arange(len(part)), pc.list_value_length(seeds).to_numpy(zero_copy_only=False))
+            begin, end = w.bounds[row], w.bounds[row + 1]
+            at = begin + seeds.flatten().to_numpy()
+            step = np.bincount(np.clip(at - NEAR + 1, begin, end), minlength=len(w.hash) + 1) - np.bincount(np.clip(at + NEAR, begin, end), minlength=len(w.hash) + 1)
+            near = np.cumsum(step)[first] > 0
+            h, first = h[near], first[near]
+            chars = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
+            row = w.row[first]
+            text_at = chars[w.offsets[row]]
+            ints = lambda x: pa.array(x.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([
+                pc.take(part.column("doc_id"), pa.array(row)), ints(first - w.bounds[row]), ints(chars[w.start[first]] - text_at),
+                ints(chars[w.end[first + WINDOW - 1]] - text_at), pa.array(h.view(np.int64))], names=[x.split()[0] for x in _WINDOWS.split(", ")])
+
+
+def _passages(rows: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Runs of windows that stand in two documents or more."""
+    ends = [F.min("doc_id").alias("keeper_id"), F.max("doc_id").alias("hi")]
+    shared = cut(seeds.groupBy("body").agg(*ends).filter("keeper_id < hi").select("body"))
+    wanted = seeds.join(shared, "body", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("seeds"))
+    windows = cut(rows.join(wanted, "doc_id").select("doc_id", "text", "seeds").mapInArrow(_near_seeds, _WINDOWS))
+    drop_cut(shared)
+    named = cut(windows.groupBy("body").agg(*ends, F.count(F.lit(1)).alias("class_size")).filter("keeper_id < hi").drop("hi"))
+    by = Window.partitionBy("doc_id").orderBy("pos")
+    lag = lambda c: F.lag(c).over(by)
+    joins = (F.col("pos") - lag("pos") <= 1) & (F.col("keeper_id") == lag("keeper_id")) & (F.col("class_size") == lag("class_size"))
+    found = windows.join(named, "body").withColumn("fresh", (~F.coalesce(joins, F.lit(False))).cast("int"))
+    runs = found.withColumn("run", F.sum("fresh").over(by)).groupBy("doc_id", "run", "keeper_id", "class_size").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("pos") - F.min("pos") + WINDOW).alias("n_words"), F.min("body").alias("class_id"))
+    return runs.select("doc_id", F.lit("passage").alias("kind"), "start", (F.col("stop") - F.col("start")).alias("length"), "n_words",
+                       "class_id", "class_size", "keeper_id", (F.col("doc_id") != F.col("keeper_id")).alias("removed"))
+
+
 def repeated_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Paragraphs that stand in two documents or more.
-
-    ``doc_id, kind (line or passage), start, length (code points), n_words,
-    class_id, class_size, keeper_id, removed``.  Only documents with such a
-    paragraph have rows.  Repeats inside one document alone, lines of fewer
-    than 12 words, runs of pieces of fewer than 12 words, texts that are null
-    or without words and rows with a null id yield none.  Repeated rows with
-    one id are one document; other columns are ignored.
+    """Paragraphs and passages that stand in two documents or more.
+
+    ``doc_id, kind (line, block or passage), start, length (code points),
+    n_words, class_id, class_size, keeper_id, removed``.  Only documents with
+    such text have rows.  A passage of 51 words or more is always found and
+    covered as a whole; one of 12 to 50 words when a shared seed is near.  Its
+    row ends where the keeper or the number of copies changes, so rows of one
+    passage overlap by 11 words.  Repeats inside one document alone, lines and
+    blocks of fewer than 12 words, texts that are null or without words and
+    rows with a null id yield none.  Repeated rows with one id are one
+    document; other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
     units = cut(rows.mapInArrow(_units, _UNITS))
-    lines = units.filter("kind = 0")
+    lines = units.filter("kind <> 1")
     members = members_of(lines.select(F.col("body").alias("id"), F.explode("bands").alias("band")).distinct())
     wanted = members.select(F.col("id").alias("body")).distinct()
     shown = lines.join(wanted, "body", "left_semi").groupBy("body").agg(F.min(F.struct("doc_id", "start", "length")).alias("at"))
@@ -127,19 +210,18 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     of_line = F.expr("substring(text, start + 1, length)").alias("text")
     sentences = cut(shown.join(rows.groupBy("doc_id").agg(F.max("text").alias("text")), "doc_id").select("id", of_line))
     roots = bucket_links(members, sentences, plain_sets(SHINGLE), SIMILARITY)
-    bodies = units.groupBy("kind", "body").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"))
-    named = bodies.join(roots.withColumn("kind", F.lit(0)).withColumnRenamed("node", "body"), ["kind", "body"], "left").filter("lo < hi or root is not null")
-    named = cut(named.select("kind", "body", F.coalesce("root", "body").alias("class_id"), "lo", "hi", "n"))
-    classes = named.groupBy("kind", "class_id").agg(F.min("lo").alias("keeper_id"), F.max("hi").alias("hi"), F.sum("n").alias("class_size")).filter("keeper_id < hi")
-    named = named.join(classes.drop("hi"), ["kind", "class_id"]).select("kind", "body", "class_id", "class_size", "keeper_id")
-    found = units.drop("bands").join(named, ["kind", "body"]).withColumn("removed", F.col("doc_id") != F.col("keeper_id"))
-    by = Window.partitionBy("doc_id", "kind", "removed").orderBy("pos")
-    fresh = F.coalesce(F.lag(F.col("pos") + F.col("n_words")).over(by) != F.col("pos"), F.lit(True))
-    runs = found.withColumn("run", F.sum(fresh.cast("int")).over(by))
-    whole = F.sum("n_words").over(Window.partitionBy("doc_id", "kind", "removed", "run"))
-    runs = runs.withColumn("whole", whole).filter((F.col("kind") == 0) | (F.col("whole") >= RUN_WORDS))
-    return runs.select("doc_id", F.when(F.col("kind") == 0, "line").otherwise("passage").alias("kind"), "start", "length", "n_words",
-                       "class_id", "class_size", "keeper_id", "removed")
+    bodies = lines.groupBy("body").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"))
+    named = bodies.join(roots.withColumnRenamed("node", "body"), "body", "left").filter("lo < hi or root is not null")
+    named = cut(named.select("body", F.coalesce("root", "body").alias("class_id"), "lo", "hi", "n"))
+    classes = named.groupBy("class_id").agg(F.min("lo").alias("keeper_id"), F.max("hi").alias("hi"), F.sum("n").alias("class_size")).filter("keeper_id < hi")
+    named = named.join(classes.drop("hi"), "class_id").select("body", "class_id", "class_size", "keeper_id")
+    found = cut(lines.drop("bands").join(named, "body").select(
+        "doc_id", F.when(F.col("kind") == 0, "line").otherwise("block").alias("kind"), "start", "length", "n_words",
+        "class_id", "class_size", "keeper_id", (F.col("doc_id") != F.col("keeper_id")).alias("removed")))
+    seeds = cut(units.filter("kind = 1").select("doc_id", "pos", "body"))
+    for done in (members, sentences, units):
+        drop_cut(done)
+    return found.unionByName(_passages(rows, seeds))
 
 
 def _erase(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -163,6 +163,35 @@ def test_repeated_paragraphs(spark):
     assert paragraphs.without_repeats(docs_of(spark, [])).count() == 0
 
 
+def test_whole_passages_and_wrapped_paragraphs(spark):
+    """Every planted passage of 51 to 200 words is covered from its first to its last word, and nothing around it."""
+    rng = random.Random(12)
+    own = lambda n: ["u%d" % rng.randrange(10 ** 9) for _ in range(n)]
+    rows, spans = [], {}
+    for k in range(120):
+        n = rng.choice([51, 51, 52, 60, 100, 200])
+        passage = [own(2 + k % 4), own(1)][k % 9 == 0] * n if k % 3 == 0 else own(n)
+        passage = passage[:n]
+        for copy in range(2):
+            before, after = own(rng.randrange(40)), own(rng.randrange(40))
+            rows.append((2 * k + copy, " ".join([*before, *passage, *after]), "en", "s"))
+            spans[2 * k + copy] = (len(" ".join([*before, ""])), len(" ".join(passage)))
+    text = own(60)
+    wrapped = "\n".join(" ".join(text[i:i + 10]) for i in range(0, 60, 10))
+    edited = " ".join(["other" if i == 30 else x for i, x in enumerate(text)])
+    rows += [(900, edited + "\n" + " ".join(own(80)), "en", "s"), (901, " ".join(own(80)) + "\n\n" + wrapped + "\n\n" + " ".join(own(80)), "en", "s")]
+    found = paragraphs.repeated_paragraphs(docs_of(spark, rows)).collect()
+    seen = collections.defaultdict(set)
+    for r in found:
+        if r["kind"] == "passage" or r["doc_id"] >= 900:
+            seen[r["doc_id"]].update(range(r["start"], r["start"] + r["length"]))
+        assert r["removed"] == (r["doc_id"] % 2 == 1)
+    for i, (start, length) in spans.items():
+        assert seen[i] == set(range(start, start + length))
+    at = rows[-1][1].index(wrapped)
+    assert seen[901] == set(range(at, at + len(wrapped))) and {r["kind"] for r in found if r["doc_id"] == 901} == {"block", "passage"}
+
+
 def brute_katz(train, texts):
     """Plain dictionaries; start context, one end token a text."""
     uni, bi = collections.Counter(), collections.defaultdict(collections.Counter)
