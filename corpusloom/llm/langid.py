@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm import tokens as tk
-from corpusloom.llm.common import freed_shuffles
+from corpusloom.llm.common import cut, drop_cut, freed_shuffles
 
 ORDERS, CELLS, SLICE_ROWS = 4, 1 << 15, 256
-PER_LANGUAGE, LANDMARKS, LANGUAGES = 1024, 128, 64  # fitting rows a language, landmarks in all, languages
+PER_LANGUAGE, LANDMARKS = 1024, 128  # fitting rows a language at most, landmarks in all at least
+FITTING_ROWS = 1 << 16               # fitting rows in all, but one a language at least
 RIDGE = 1e-4
 UNKNOWN = "und"
 _ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
@@ -73,28 +74,33 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(rows: DataFrame) -> Model:
-    """Fit on ``doc_id, text, lang``: for each of the 64 most frequent languages up to 1024 rows, chosen by hash.
+    """Fit on ``doc_id, text, lang``: every language, each with up to 1024 rows chosen by hash.
 
-    That bound concerns fitting only.  The driver gets presence bits of 4 kB a row.
+    With more than 64 languages a language has fewer rows, 65,536 in all.  That
+    bound concerns fitting only.  The driver gets presence bits of 4 kB a row.
     """
     spark = rows.sparkSession
     with freed_shuffles(spark):
-        top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-        if not top:
+        counts = cut(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_rows")))
+        languages = counts.count()
+        if not languages:
             return Model([], np.zeros((CELLS, 0), np.float32))
-        # A share of each language, by hash, with about twice the rows wanted: no language's rows meet in one task.
-        share = F.create_map(*[F.lit(x) for r in top for x in (r["lang"], min(1.0, 2 * PER_LANGUAGE / r["count"]))])
+        per = max(1, min(PER_LANGUAGE, FITTING_ROWS // languages))
+        # A share of each language, by hash, with about twice the rows wanted (32 at least, so that none is left
+        # without a row): no language's rows meet in one task.
+        share = F.least(F.lit(1.0), F.lit(float(max(2 * per, 32))) / F.col("_rows"))
         mark = F.xxhash64("doc_id", "text")
-        own = rows.filter(F.pmod(mark, F.lit(1 << 31)) < F.element_at(share, F.col("lang")) * F.lit(float(1 << 31)))
+        own = rows.join(F.broadcast(counts), "lang").filter(F.pmod(mark, F.lit(1 << 31)) < share * F.lit(float(1 << 31)))  # one row a language
         order = Window.partitionBy("lang").orderBy("_mark", "doc_id")
         own = own.withColumn("_mark", mark).withColumn("turn", F.row_number().over(order))
-        got = own.filter(F.col("turn") <= PER_LANGUAGE).select("lang", "turn", "text").mapInArrow(_bits, "lang string, turn int, bits binary").toArrow()
+        got = own.filter(F.col("turn") <= per).select("lang", "turn", "text").mapInArrow(_bits, "lang string, turn int, bits binary").toArrow()
+    drop_cut(counts)
     order = np.lexsort((np.array(got.column("lang").to_pylist()), got.column("turn").to_numpy()))
     names, bits = got.column("lang").take(pa.array(order)).to_pylist(), got.column("bits").take(pa.array(order)).to_pylist()
     languages = sorted(set(names))
     unpack = lambda a, b: np.unpackbits(np.frombuffer(b"".join(bits[a:b]), np.uint8).reshape(-1, CELLS // 8), axis=1).astype(np.float32)
     scaled = lambda x: x / np.sqrt(np.maximum(x.sum(1), 1))[:, None]
-    marks = scaled(unpack(0, max(LANDMARKS, len(languages))))
+    marks = scaled(unpack(0, max(LANDMARKS, 2 * len(languages))))  # rows come turn by turn: each language has a landmark
     k_mm = marks @ marks.T
     left, right = RIDGE * len(bits) * k_mm.astype(float), np.zeros((len(marks), len(languages)))
     for a in range(0, len(bits), SLICE_ROWS):

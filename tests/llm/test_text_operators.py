@@ -327,3 +327,19 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in langid.predict_languages(df.limit(9), F.lit(False)).collect()} == {"und"}
     assert langid.predict_languages(docs_of(spark, []), F.lit(True)).count() == 0
     assert {r["doc_id"] for r in stages.identified(df).collect()} == {r[0] for r in rows} - {300, 301, 302}
+
+
+def test_every_language_is_learned(spark):
+    """More than 64 languages, the rare ones with few texts: each is recognised."""
+    rng = random.Random(13)
+    sounds = ["".join(chr(0x3041 + rng.randrange(20)) if k % 2 else rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(3)) for k in range(480)]
+    rows = []
+    for k in range(80):
+        own = sounds[6 * k:6 * k + 6]
+        for _ in range(12 if k < 64 else 8):
+            rows.append((len(rows), " ".join("".join(rng.choice(own) for _ in range(2)) for _ in range(40)), "l%02d" % k, "s"))
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict_languages(docs_of(spark, rows), F.lit(True)).collect()}
+    assert len({got[i] for i, *_ in rows}) == 80
+    assert sum(got[i] == lang for i, _, lang, _ in rows) >= 0.99 * len(rows)
+    kept = {r["doc_id"]: r["lang"] for r in stages.identified(docs_of(spark, rows)).collect()}
+    assert {kept.get(i) for i, _, lang, _ in rows if lang == "l79"} == {"l79"}
