@@ -288,6 +288,21 @@ def test_perplexity(spark):
     assert perplexity.perplexity_rules(docs_of(spark, [])).count() == 0
 
 
+def test_perplexity_bands_reject_partly_spoilt_texts(spark):
+    """Texts with a few spoilt words leave the bands; bands of eight deviations kept them."""
+    rng = random.Random(14)
+    vocabulary = ["".join(rng.choice("aeinrst") for _ in range(rng.randrange(2, 8))) for _ in range(300)]
+    texts = [prose(rng, 120, vocabulary) for _ in range(300)]
+    for w in texts[:20]:
+        for k in rng.sample(range(120), 12):
+            w[k] = "".join(rng.choice("bcdfghjklmpqvwxyz") for _ in range(5))
+    df = docs_of(spark, [(i, " ".join(w), "en", "s") for i, w in enumerate(texts)])
+    kept = {r["doc_id"] for r in perplexity.perplexity_rules(df).filter("kept").collect()}
+    assert len(kept & set(range(20))) <= 5 and len(kept) >= 0.98 * 280
+    wide = {r["doc_id"] for r in perplexity.perplexity_rules(df, spread=8.0, least=0.15).filter("kept").collect()}
+    assert len(wide & set(range(20))) > 10
+
+
 def test_short_texts_do_not_reach_into_the_next():
     alone = perplexity.packed(*tk.buffers(pa.array(["xyz"])))
     for before in (["a"], ["ab", ""], ["", "abcdef"]):
