@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import katz, langid, mixing, packing, paragraphs, perplexity, probminhash, quality, vafile, warc
+from corpusloom.llm import collocations, katz, langid, mixing, packing, paragraphs, perplexity, probminhash, quality, radix, resampling, vafile, warc
 from corpusloom.llm.common import remainder
+from corpusloom.sources.tables import spread_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -99,3 +100,28 @@ def op10_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op10_pfair_mixing"] = mixing.SQL
+
+
+@query
+def op11_crc_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread_scan(spark, f"{sf_dir}/documents.parquet")
+    return resampling.resampled(docs, table(spark, sf_dir, "benchmark"))
+
+
+SQL["op11_crc_resampling"] = resampling.SQL
+
+
+@query
+def op12_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return radix.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+SQL["op12_radix_dedup"] = radix.SQL
+
+
+@query
+def op13_misra_gries_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(spread_scan(spark, f"{sf_dir}/documents.parquet"))
+
+
+SQL["op13_misra_gries_phrases"] = collocations.SQL
