@@ -23,6 +23,7 @@ from corpusloom.llm.common import cut, freed_shuffles
 from corpusloom.llm.perplexity import rule_counts
 
 TO_POOLED, TO_IDENTITY = 0.2, 0.02  # shares of the pooled covariance and of the scaled identity
+LEAST_VARIANCE = 1e-9  # of a statistic that is not constant, relative to its square
 THRESHOLD = 0.7
 _MARKS = b"!|*$%&#<>.,?:;"
 STATISTICS = ("words", "word_length", "capitals", "digits", "marks", "other_letters", "bangs", "bars", "stars", "stops", "commas",
@@ -81,17 +82,26 @@ class Model:
         return 1 / (1 + np.exp(np.clip(density[0] - density[1], -700, 700)))
 
 
-def discriminant(n: np.ndarray, sums: np.ndarray, products: np.ndarray) -> Model:
-    """Model from numbers, sums and sums of outer products per class (0, 1)."""
+def discriminant(n: np.ndarray, sums: np.ndarray, products: np.ndarray, centre: np.ndarray | None = None) -> Model:
+    """Model from numbers, sums and sums of outer products per class (0, 1), both taken about ``centre``.
+
+    The nearer the centre is to the mean of all rows, the less is lost to
+    rounding.  A statistic that hardly varies is constant: it has scale 1 and no
+    covariance, so the shrinkage alone gives it a variance.
+    """
     p = sums.shape[1]
     one, zero = np.ones(p), np.zeros(p)
     if (n < 2).any():
         return Model(zero, one, zero, zero, zero, float(n[1] / n.sum()) if n.sum() else 0.5)
-    centre = sums.sum(0) / n.sum()
-    scale = np.sqrt(np.maximum(products.sum(0).diagonal() / n.sum() - centre ** 2, 1e-12))
-    mean = (sums / n[:, None] - centre) / scale
+    about = zero if centre is None else centre
+    middle = sums.sum(0) / n.sum()
+    variance = products.sum(0).diagonal() / n.sum() - middle ** 2
+    varies = variance > LEAST_VARIANCE * (1 + (about + middle) ** 2)
+    scale = np.sqrt(np.where(varies, variance, 1.0))
+    mean = np.where(varies, (sums / n[:, None] - middle) / scale, 0.0)
     raw = [products[k] / n[k] - np.outer(sums[k], sums[k]) / n[k] ** 2 for k in (0, 1)]
-    own = [r / np.outer(scale, scale) for r in raw]
+    own = [np.where(np.outer(varies, varies), r / np.outer(scale, scale), 0.0) for r in raw]
+    centre = about + middle
     pooled = (n[0] * own[0] + n[1] * own[1]) / n.sum()
     factor, offset = [], []
     for k in (0, 1):
@@ -116,15 +126,26 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return col.flatten().to_numpy().reshape(len(col), len(STATISTICS))
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    p = len(STATISTICS)
-    total = np.zeros((2, 1 + p + p * p))
-    for batch in batches:
-        x, y = _matrix(batch.column("x")), batch.column("quality").to_numpy()
-        for k in (0, 1):
-            z = x[y == k]
-            total[k] += np.concatenate([[len(z)], z.sum(0), (z.T @ z).reshape(-1)])
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.reshape(-1))], ["i", "v"])
+def _sums(centre: np.ndarray | None):
+    """Per label: number and sums of the statistics, or their outer products about ``centre``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = len(STATISTICS)
+        total = np.zeros((2, 1 + p if centre is None else p * p))
+        for batch in batches:
+            x, y = _matrix(batch.column("x")), batch.column("quality").to_numpy()
+            for k in (0, 1):
+                z = x[y == k]
+                total[k] += np.concatenate([[len(z)], z.sum(0)]) if centre is None else ((z - centre).T @ (z - centre)).reshape(-1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.reshape(-1))], ["i", "v"])
+    return run
+
+
+def _totals(labelled: DataFrame, centre: np.ndarray | None, size: int) -> np.ndarray:
+    out = np.zeros(2 * size)
+    with freed_shuffles(labelled.sparkSession):
+        for r in labelled.mapInArrow(_sums(centre), "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():  # 2 * size numbers
+            out[r["i"]] = r["v"]
+    return out.reshape(2, size)
 
 
 def _scores(model):
@@ -148,12 +169,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out: Column, text: s
     vectors = cut(rows.mapInArrow(_vectors, "doc_id long, held_out boolean, x array<double>"))
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("quality in (0, 1)")
     p = len(STATISTICS)
-    summed = vectors.filter("not held_out").join(known, "doc_id").select("x", "quality").mapInArrow(_sums, "i long, v double").groupBy("i").agg(F.sum("v").alias("v"))
-    total = np.zeros((2, 1 + p + p * p))
-    with freed_shuffles(docs.sparkSession):
-        for r in summed.collect():  # 2 * (1 + p + p * p) numbers
-            total.reshape(-1)[r["i"]] = r["v"]
-    m = discriminant(total[:, 0], total[:, 1:1 + p], total[:, 1 + p:].reshape(2, p, p))
+    labelled = cut(vectors.filter("not held_out").join(known, "doc_id").select("x", "quality"))
+    first = _totals(labelled, None, 1 + p)
+    n, sums = first[:, 0], first[:, 1:]
+    centre = sums.sum(0) / max(n.sum(), 1)
+    products = _totals(labelled, centre, p * p).reshape(2, p, p)
+    m = discriminant(n, sums - n[:, None] * centre, products, centre)
     model = docs.sparkSession.sparkContext.broadcast((m.centre, m.scale, m.mean, m.factor, m.offset, m.constant))
     scored = vectors.mapInArrow(_scores(model), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
