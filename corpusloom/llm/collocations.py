@@ -15,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut, first_row, freed_shuffles
+from corpusloom.llm.common import cut, drop_cut, first_row, freed_shuffles
 from corpusloom.llm.runs import Slice, byte_class, slices
 from corpusloom.llm.tokens import buffers, mix, powers, span_hashes
 from corpusloom.session import shuffle_width
@@ -31,7 +32,8 @@ NO_LANGUAGE = "und"
 
 PIECE_ENDS = byte_class(*map(ord, ".,;:!?"), (0x0A, 0x0D))
 WORD = ~(PIECE_ENDS | byte_class(0x20, 0x09))
-BITS = 1 << 27        # slots of the bit table: 16 MB
+SLOTS_PER_KEY = 16    # of the bit table, as long as it is smaller than
+BITS = 1 << 27        # slots: 16 MB
 HELD = 1 << 22        # distinct n-grams a scan task holds before it passes them on
 PART_BYTES = 24 << 20  # text bytes per hash partition
 CAPACITY = 1 << 18    # counters a summary starts with
@@ -110,11 +112,11 @@ class Grams:
             h += self.words[at + j] * p
         return mix(h ^ mix(self.language[at] + np.uint64(n)))
 
-    def passing(self, n: int, tables: list[np.ndarray]) -> np.ndarray:
-        """First words of the n-grams that end in this slice and whose two shorter runs may be frequent."""
+    def passing(self, n: int, shorter: np.ndarray | None) -> np.ndarray:
+        """First words of the n-grams that end in this slice and whose two shorter runs are in the table of those."""
         at = self.part.first_words(n)
         for j in range(2 if n > 1 else 0):
-            at = at[hit(tables[n - 2], self.keys(n - 1, at + j))]
+            at = at[hit(shorter, self.keys(n - 1, at + j))]
         return at
 
 
@@ -134,8 +136,8 @@ def _grams(batch: pa.RecordBatch, back: int) -> Iterator[Grams]:
             yield Grams(part, language)
 
 
-def _frequent(texts: DataFrame, n: int, tables: list[np.ndarray], threshold: int, parts: int) -> DataFrame:
-    """``key`` of every n-gram that may occur ``threshold`` times."""
+def _frequent(texts: DataFrame, n: int, shorter: Broadcast | None, threshold: int, parts: int) -> DataFrame:
+    """``key`` of every n-gram that may occur ``threshold`` times; ``shorter`` is the table of the (n-1)-grams."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -146,7 +148,7 @@ def _frequent(texts: DataFrame, n: int, tables: list[np.ndarray], threshold: int
 
         for batch in batches:
             for grams in _grams(batch, n - 1):
-                keys, counts = np.unique(grams.keys(n, grams.passing(n, tables)), return_counts=True)
+                keys, counts = np.unique(grams.keys(n, grams.passing(n, shorter and shorter.value)), return_counts=True)
                 held.append((keys.view(np.int64), counts.astype(np.int64)))
                 size += len(keys)
                 if size > HELD:
@@ -166,17 +168,20 @@ def _frequent(texts: DataFrame, n: int, tables: list[np.ndarray], threshold: int
 
 
 def bit_table(keys: DataFrame, bits: int = BITS) -> np.ndarray:
-    """The slots of all keys as one table of ``bits`` bits (a power of two); its size does not depend on the number of keys."""
-    slot = F.col("key").bitwiseAND(F.lit(bits - 1)).alias("slot")
+    """A table of bits that has the slots of all keys; at most ``bits`` of them (a power of two), whatever the number of keys."""
+    wanted = 64
+    while wanted < min(bits, keys.count() * SLOTS_PER_KEY):
+        wanted *= 2
+    slot = F.col("key").bitwiseAND(F.lit(wanted - 1)).alias("slot")
     cell = keys.select(slot).selectExpr("shiftright(slot, 6) as cell", "shiftleft(1L, cast(slot & 63 as int)) as bit")
     with freed_shuffles(keys.sparkSession):
         found = cell.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(bits // 64, np.int64)
+    out = np.zeros(wanted // 64, np.int64)
     out[found.column(0).to_numpy()] = found.column(1).to_numpy()
     return out.view(np.uint8)
 
 
-def _exact_counts(texts: DataFrame, tables: list[np.ndarray]) -> DataFrame:
+def _exact_counts(texts: DataFrame, tables: list[Broadcast]) -> DataFrame:
     """``lang, phrase, words, n`` of all n-grams in the tables; the row without a phrase has all words of the language."""
     most = len(tables)
 
@@ -189,9 +194,9 @@ def _exact_counts(texts: DataFrame, tables: list[np.ndarray]) -> DataFrame:
                 out = [pa.RecordBatch.from_arrays([names.take(pa.array(rows)), pa.nulls(len(rows), pa.string()),
                                                    pa.array(np.zeros(len(rows), np.int32)), pa.array(n_words.astype(np.int64))], _COUNTED)]
                 for n in range(1, most + 1):
-                    at = grams.passing(n, tables)
+                    at = grams.passing(n, tables[n - 2].value if n > 1 else None)
                     keys = grams.keys(n, at)
-                    keep = hit(tables[n - 1], keys)
+                    keep = hit(tables[n - 1].value, keys)
                     _, first, counts = np.unique(keys[keep], return_index=True, return_counts=True)
                     at = at[keep][first]
                     if len(at):
@@ -237,9 +242,11 @@ def collocations(docs: DataFrame, *, least_count: int = LEAST_COUNT, max_words:
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE)).alias("lang"))
     size = first_row(texts.agg(F.sum(F.octet_length("text"))))[0] or 0
     parts = max(shuffle_width(spark), size // PART_BYTES + 1)
-    tables: list[np.ndarray] = []
+    tables: list[Broadcast] = []
     for n in range(1, max_words + 1):
-        tables.append(bit_table(_frequent(texts, n, tables, least_count, parts), bits))
+        found = _frequent(texts, n, tables[-1] if tables else None, least_count, parts)
+        tables.append(spark.sparkContext.broadcast(bit_table(found, bits)))  # at most ``bits`` bits
+        drop_cut(found)
     counted = cut(_exact_counts(texts, tables).filter((F.col("n") >= least_count) | (F.col("words") == 0)))
     return _ranked(counted, least_count, per_language, covered)
 
