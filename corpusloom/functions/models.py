@@ -135,6 +135,26 @@ def extractive_answer(context: Column, question: Column, dim: int = 64) -> Colum
     return answer(context, question)
 
 
+@dataclass(frozen=True)
+class LimitedEmbedder:
+    """An embedder that refuses texts of more than ``max_tokens``, as providers do."""
+
+    inner: HashEmbedder
+    max_tokens: int = 8191
+
+    @property
+    def name(self) -> str:
+        return self.inner.name
+
+    def __call__(self, text: Column) -> Column:
+        return self.inner(text)
+
+    def checked(self, text: Column) -> Column:
+        """``struct<vec, error>``: the vector, or why there is none."""
+        error = F.when(tx.tokens_ceil(text) > self.max_tokens, F.lit(f"input length cannot exceed {self.max_tokens} tokens"))
+        return F.struct(F.when(error.isNull(), self.inner(F.when(error.isNull(), text))).alias("vec"), error.alias("error"))
+
+
 def overlap_reranker(question: Column, passage: Column) -> Column:
     """Share of the question's distinct words that the passage contains."""
     q = F.array_distinct(tx.words(F.lower(question)))

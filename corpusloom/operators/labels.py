@@ -67,27 +67,30 @@ def by_size(df: DataFrame, cluster: str = "cluster") -> DataFrame:
     return ordered.number_rows(placed, name="cluster_rank").select(cluster, "n", "cluster_rank")
 
 
-def concat_texts(df: DataFrame, cluster: str = "cluster", order: list[str] = ("id",), sep: str = "\n\n") -> DataFrame:
-    """The texts of a cluster in order, as one text: ``cluster, text, n_rows``."""
-    return ordered.whole_texts(ordered.concat_parts(df, [cluster], list(order), F.col("text"), sep), [cluster], sep)
-
-
 def polish(df: DataFrame, summarize=None, max_tokens: int = 150, cluster: str = "cluster",
            order: list[str] = ("id",), rows_per_part: int = 1000) -> DataFrame:
-    """Cluster text; with a summariser, one summary of it instead.
+    """The texts of each cluster in order: ``cluster, part, text, n_rows``, a part per ``rows_per_part`` rows.
 
-    A cluster of more than ``rows_per_part`` rows is summarised in parts, and
-    the summaries of the parts are summarised once more.
+    With a summariser, one summary per cluster instead (``cluster, text,
+    n_rows``): the parts are summarised, then the summaries of ``rows_per_part``
+    parts at a time, until one is left.  No row grows with a cluster.
     """
-    if summarize is None:
-        return concat_texts(df, cluster, order)
     sep = "\n\n"
     parts = ordered.concat_parts(df, [cluster], list(order), F.col("text"), sep, rows_per_part)
-    parts = parts.withColumn("text", summarize(F.col("text"), max_tokens))
-    several = parts.groupBy(cluster).agg(F.count(F.lit(1)).alias("_parts"))
-    joined = cut_lineage(ordered.whole_texts(parts, [cluster], sep).join(several, cluster))
-    again = joined.where("_parts > 1").withColumn("text", summarize(F.col("text"), max_tokens))
-    return joined.where("_parts = 1").unionByName(again).drop("_parts")
+    if summarize is None:
+        return parts
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda s: s["text"]), sep)
+    out = None
+    while True:
+        parts = cut_lineage(parts.withColumn("text", summarize(F.col("text"), max_tokens)))
+        whole = parts.join(parts.groupBy(cluster).agg(F.max("part").alias("_last")), cluster)
+        done = whole.where("_last = 0").select(cluster, "text", "n_rows")
+        out = done if out is None else out.unionByName(done)
+        rest = whole.where("_last > 0")
+        if rest.isEmpty():
+            return out
+        grouped = rest.groupBy(cluster, F.floor(F.col("part") / rows_per_part).alias("_part"))
+        parts = cut_lineage(grouped.agg(joined.alias("text"), F.sum("n_rows").alias("n_rows")).withColumnRenamed("_part", "part"))
 
 
 def stub_titles(df: DataFrame, cluster: str = "cluster", order: list[str] = ("id",), chars: int = 50) -> DataFrame:

@@ -105,7 +105,7 @@ def contiguous_groups(df: DataFrame, label: str, *order: str, keys: list[str] =
 def concat_parts(
     df: DataFrame, keys: list[str], order: list[str], text: Column, sep: str, rows_per_part: int = 1000
 ) -> DataFrame:
-    """Ordered concatenation per key, in numbered parts of ``rows_per_part`` rows.
+    """Ordered concatenation per key: ``keys, part, text, n_rows``, a part per ``rows_per_part`` rows, from 0.
 
     The parts of a key joined by ``sep`` are its whole text; no row grows with
     the size of the group.
@@ -120,9 +120,3 @@ def concat_parts(
         ).alias("text"),
         F.count(F.lit(1)).alias("n_rows"),
     )
-
-
-def whole_texts(parts: DataFrame, keys: list[str], sep: str) -> DataFrame:
-    """One row per key from the parts of ``concat_parts``: ``keys, text, n_rows``."""
-    pieces = F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda s: s["text"])
-    return parts.groupBy(*keys).agg(F.array_join(pieces, sep).alias("text"), F.sum("n_rows").alias("n_rows"))

@@ -59,6 +59,10 @@ def preview_filtered(
     return preview(nodes, limit)
 
 
+# Doublings per written step.
+DOUBLINGS = 3
+
+
 def child_edges(index: DataFrame, parent: str = "id", children: str = "children") -> DataFrame:
     """Edge rows from a parent table with child-id arrays."""
     return index.select(F.col(parent).alias("parent"), F.posexplode(children).alias("ord", "child")).select(
@@ -71,27 +75,56 @@ def roots(edges: DataFrame) -> DataFrame:
         edges.select(F.col("child").alias("node")), "node", "left_anti")
 
 
-def depths(edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
+def depths(edges: DataFrame) -> DataFrame:
     """Longest distance from a root for every node (roots have depth 1).
 
-    One join per level; the frontier is cut to files so that the plan does not
-    grow with the depth.  Raises when the edges contain a cycle.
+    In a forest every node jumps to an ancestor and the jump doubles with each
+    join, so a chain of n nodes takes log2 n of them.  Where a node has several
+    parents, levels are walked from the roots.  Raises when the edges contain a
+    cycle: such a node still has an ancestor after as many steps as there are
+    nodes.
     """
-    frontier = cut_lineage(roots(edges).withColumn("depth", F.lit(1)))
-    levels = [frontier]
-    for level in range(2, max_depth + 1):
-        step = frontier.join(edges, frontier["node"] == edges["parent"]).select(
-            F.col("child").alias("node")).distinct()
-        frontier = cut_lineage(step.withColumn("depth", F.lit(level)))
+    pairs = cut_lineage(edges.select("parent", F.col("child").alias("node")).distinct())
+    n = pairs.select("node").distinct().count()
+    if n < pairs.count():
+        return _walked(pairs, n)
+    rows = pairs.select("node", F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("steps"), F.lit(False).alias("done"))
+    covered = 1
+    while True:
+        for _ in range(DOUBLINGS):
+            above = rows.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("steps").alias("_steps"), F.col("done").alias("_done"))
+            rows = rows.join(above, "up", "left").select(
+                "node", F.coalesce("_up", "up").alias("up"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
+                F.coalesce("_done", F.lit(True)).alias("done"))
+            covered *= 2
+        rows = cut_lineage(rows)
+        if rows.where("not done").isEmpty():
+            break
+        if covered > n:
+            raise ValueError("the edges contain a cycle")
+    return rows.select("node", (F.col("steps") + 1).cast("int").alias("depth")).unionByName(
+        roots(edges).withColumn("depth", F.lit(1)))
+
+
+def _walked(pairs: DataFrame, n: int) -> DataFrame:
+    """Depths by levels from the roots; the frontier is written, so the plan does not grow with the depth."""
+    frontier = cut_lineage(roots(pairs.withColumnRenamed("node", "child")).withColumn("depth", F.lit(1)))
+    levels, parents = [frontier], pairs
+    while True:
+        step = frontier.join(parents, frontier["node"] == parents["parent"]).select(parents["node"].alias("node")).distinct()
+        frontier = cut_lineage(step.withColumn("depth", F.lit(len(levels) + 1)))
         if frontier.isEmpty():
             break
         levels.append(frontier)
-    else:
-        raise ValueError("edges are deeper than max_depth or contain a cycle")
+        if len(levels) > n + 1:
+            raise ValueError("the edges contain a cycle")
     out = levels[0]
     for more in levels[1:]:
         out = out.unionByName(more)
-    return out.groupBy("node").agg(F.max("depth").alias("depth"))
+    out = out.groupBy("node").agg(F.max("depth").alias("depth"))
+    if not pairs.select("node").join(out, "node", "left_anti").isEmpty():
+        raise ValueError("the edges contain a cycle")
+    return out
 
 
 def layer_of(nodes: DataFrame) -> DataFrame:

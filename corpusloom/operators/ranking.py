@@ -90,6 +90,14 @@ def context_text(selected: DataFrame, keys: list[str] = ("q_id",), rank: str = "
         F.array_join(F.transform(rows, lambda s: s["t"]), "").alias("context"), F.count(F.lit(1)).alias("n_selected"))
 
 
+def context_parts(selected: DataFrame, keys: list[str], order: list[str], text: str = "text", rows_per_part: int = 1000) -> DataFrame:
+    """As ``context_text`` for selections of any size: ``keys, part, context, n_selected`` in ordered parts."""
+    from corpusloom.operators.ordered import concat_parts
+    block = F.concat(tx.flatten_lines(F.col(text)), F.lit("\n\n"))
+    parts = concat_parts(selected, list(keys), list(order), block, "", rows_per_part)
+    return parts.select(*keys, "part", F.col("text").alias("context"), F.col("n_rows").alias("n_selected"))
+
+
 def question_metrics(candidates: DataFrame, selected: DataFrame, cutoff: float) -> DataFrame:
     """Per question: candidates, after cutoff, selected, similarity span, selected tokens."""
     a = candidates.groupBy("q_id").agg(

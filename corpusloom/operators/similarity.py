@@ -1,12 +1,14 @@
-"""Exact similarity search: top-k per query and all pairs within a distance.
+"""Exact similarity search: the best k per query, and all items beyond or within a distance.
 
-Both work on blocks of vectors with one matrix product per block.  Only the
-best k per query, or the pairs within the limit, leave a task.
+Work is done on blocks of vectors with matrix products.  A block is cut into
+balls around some of its vectors; a query looks into its nearest balls first and
+then only into those that can still hold a better item.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -15,72 +17,252 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.session import BROADCAST_BYTES, collect_if_small, matrix
+from corpusloom.operators.balls import pairs_within  # noqa: F401 - part of this module's interface
+from corpusloom.operators.distances import DIGITS, DISTANCES, SIMILARITIES, SLACK, TILE, best_scores, gap, scores
+from corpusloom.session import BROADCAST_BYTES, collect_if_small, cut_lineage, matrix
 
-SIMILARITIES = ("cosine", "inner_product")
-DISTANCES = ("cosine_distance", "L1", "L2", "Linf")
-DIGITS = 6
 BLOCK_BYTES = 4 * 1024 * 1024
-_TILE = 256
+# Beyond this share of balls that may hold a better item, the rest of a block is scored at once.
+DENSE_SHARE = 0.5
+
+
+class _Best:
+    """The k best ``(score, id)`` of some queries, ties to the smaller id."""
+
+    def __init__(self, q_ids: np.ndarray, k: int, exclude_self: bool, least: np.ndarray | None = None):
+        self.q_ids, self.k, self.exclude_self = q_ids, k, exclude_self
+        self.score = np.full((len(q_ids), k), -np.inf)
+        self.code = np.full((len(q_ids), k), np.iinfo(np.int64).max)
+        self.ids: np.ndarray | None = None  # code -> id, in order
+        self.least = np.full(len(q_ids), -np.inf) if least is None else least
+        self.scored = 0
+
+    def learn(self, c_ids: np.ndarray) -> np.ndarray:
+        """Codes of the ids of one block, in the order of all ids that are still held."""
+        held = self.score > -np.inf
+        known = self.ids[self.code[held]] if held.any() else c_ids[:0]
+        ids = np.unique(np.concatenate([known, c_ids]))
+        if held.any():
+            self.code[held] = np.searchsorted(ids, known)
+        self.ids = ids
+        self.own = np.searchsorted(ids, self.q_ids) if self.exclude_self else None
+        if self.exclude_self and len(ids):
+            at = np.minimum(self.own, len(ids) - 1)
+            self.own = np.where(ids[at] == self.q_ids, at, -1)
+        return np.searchsorted(ids, c_ids)
+
+    def bound(self, rows: np.ndarray | slice) -> np.ndarray:
+        """Scores below this cannot be among the best any more."""
+        return np.maximum(self.score[rows, -1], self.least[rows])
+
+    def add(self, rows: np.ndarray, s: np.ndarray, codes: np.ndarray) -> None:
+        """Take the rounded scores ``s`` of items ``codes`` for the queries ``rows``."""
+        if self.exclude_self:
+            s[self.own[rows][:, None] == codes[None, :]] = -np.inf
+        codes = np.broadcast_to(codes, s.shape)
+        if s.shape[1] > self.k:
+            edge = np.partition(s, s.shape[1] - self.k, axis=1)[:, -self.k:].min(axis=1)
+            # All items at the edge stay, so that ids decide between them.
+            width = int((s >= edge[:, None]).sum(axis=1).max())
+            if width < s.shape[1]:
+                at = np.argpartition(-s, width - 1, axis=1)[:, :width]
+                s, codes = np.take_along_axis(s, at, 1), np.take_along_axis(codes, at, 1)
+        both, ids = np.concatenate([self.score[rows], s], axis=1), np.concatenate([self.code[rows], codes], axis=1)
+        order = np.lexsort((ids, -both), axis=-1)[:, :self.k]
+        self.score[rows], self.code[rows] = np.take_along_axis(both, order, 1), np.take_along_axis(ids, order, 1)
+
+    def frame(self) -> pd.DataFrame:
+        q, at = np.nonzero(self.score > -np.inf)
+        ids = self.ids[self.code[q, at]] if len(q) else (self.ids if self.ids is not None else self.q_ids)[:0]
+        return pd.DataFrame({"q_id": self.q_ids[q], "id": ids, "score": self.score[q, at]})
+
+
+def _rounded(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
+    return np.round(scores(q, c, metric), DIGITS) + 0.0
+
+
+def _spread_pivots(c: np.ndarray, n: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` vectors of the block, each the farthest from those before it, and the gaps of all vectors to them."""
+    chosen, gaps = [0], np.empty((len(c), n))
+    nearest = np.full(len(c), np.inf)
+    for i in range(n):
+        gaps[:, i] = gap(c, c[chosen[-1]:chosen[-1] + 1], metric)[:, 0]
+        nearest = np.minimum(nearest, gaps[:, i])
+        chosen.append(int(nearest.argmax()))
+    return c[chosen[:n]], gaps
+
+
+def _search_block(best: _Best, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, metric: str) -> None:
+    """Offer a block of items to all queries: nearest balls first, then those that can beat the k-th score."""
+    codes = best.learn(c_ids)
+    n_balls = int(np.sqrt(len(c)))
+    if n_balls < 3 or len(q) < n_balls:
+        # Fewer comparisons than the balls themselves would take.
+        for start in range(0, len(q), TILE):
+            rows = np.arange(start, min(len(q), start + TILE))
+            best.add(rows, _rounded(q[rows], c, metric), codes)
+        best.scored += len(q) * len(c)
+        return
+    pivots, gaps = _spread_pivots(c, n_balls, metric)
+    home = gaps.argmin(axis=1)
+    own = gaps[np.arange(len(c)), home]
+    order = np.argsort(home, kind="stable")
+    start = np.searchsorted(home[order], np.arange(n_balls + 1))
+    high, low = np.zeros(n_balls), np.full(n_balls, np.inf)
+    np.maximum.at(high, home, own)
+    np.minimum.at(low, home, own)
+    filled = np.diff(start) > 0
+    ceiling = best_scores(q, pivots, gap(q, pivots, metric), np.where(filled, low, 0.0), high, metric) + SLACK
+    ceiling[:, ~filled] = -np.inf
+    visit = np.argsort(-ceiling, axis=1, kind="stable")
+    for turn in range(n_balls):
+        top = np.take_along_axis(ceiling, visit[:, turn:turn + 1], 1)[:, 0]
+        live = np.flatnonzero((top >= best.bound(slice(None))) & (top > -np.inf))
+        if not len(live):
+            return
+        if turn == 2 and (ceiling[live] >= best.bound(live)[:, None]).mean() > DENSE_SHARE:
+            seen = np.zeros((len(live), n_balls), bool)
+            np.put_along_axis(seen, visit[live, :turn], True, 1)
+            for a in range(0, len(live), TILE):
+                rows = live[a:a + TILE]
+                s = _rounded(q[rows], c, metric)
+                s[seen[a:a + TILE][:, home]] = -np.inf
+                best.add(rows, s, codes)
+            best.scored += len(live) * len(c)
+            return
+        ball = visit[live, turn]
+        by = np.argsort(ball, kind="stable")
+        for some in np.split(live[by], np.flatnonzero(np.diff(ball[by])) + 1):
+            j = visit[some[0], turn]
+            members = order[start[j]:start[j + 1]]
+            for a in range(0, len(some), TILE):
+                rows = some[a:a + TILE]
+                best.add(rows, _rounded(q[rows], c[members], metric), codes[members])
+            best.scored += len(some) * len(members)
+
+
+def _scan(batches: Iterator[pd.DataFrame], q_ids, q, k, metric, exclude_self, block) -> Iterator[pd.DataFrame]:
+    """Running best k per query over one corpus partition, block by block."""
+    best, held, n = _Best(q_ids, k, exclude_self), [], 0
+
+    def offer():
+        pdf = pd.concat(held)
+        held.clear()
+        _search_block(best, q, pdf["id"].to_numpy(), matrix(pdf["vec"]), metric)
 
+    for pdf in batches:
+        if len(pdf):
+            held.append(pdf)
+            n += len(pdf)
+        if n >= block:
+            offer()
+            n = 0
+    if held:
+        offer()
+    if best.ids is not None:
+        yield best.frame().assign(scored=_once(best))
 
-def _unit(m: np.ndarray) -> np.ndarray:
-    lengths = np.sqrt(np.einsum("ij,ij->i", m, m))
-    return m / np.where(lengths == 0, 1.0, lengths)[:, None]
 
+def _once(best: _Best) -> np.ndarray:
+    """The number of scored pairs on the first row only."""
+    out = np.zeros(int((best.score > -np.inf).sum()), np.int64)
+    out[:1] = best.scored
+    return out
 
-def _scores(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
-    """Query-by-corpus scores, larger is better (distances are negated)."""
-    if metric == "inner_product":
-        return q @ c.T
-    if metric in ("cosine", "cosine_distance"):
-        cos = _unit(q) @ _unit(c).T
-        return cos if metric == "cosine" else cos - 1.0
-    norms = {"L1": 1, "L2": 2, "Linf": np.inf}
-    if metric not in norms:
-        raise ValueError(f"unsupported metric {metric!r}; supported: {SIMILARITIES + DISTANCES}")
-    return np.stack([-np.linalg.norm(c - row, ord=norms[metric], axis=1) for row in q])
-
-
-def _best(frame: pd.DataFrame, k: int) -> pd.DataFrame:
-    frame = frame.sort_values(["q", "score", "id"], ascending=[True, False, True], kind="stable")
-    return frame.groupby("q", sort=False).head(k)
-
-
-def _block_topk(q_ids, q, c_ids, c, k, metric, exclude_self) -> pd.DataFrame:
-    """Best k per query of one corpus block; ties at the edge go by id."""
-    parts = []
-    for start in range(0, len(q), _TILE):
-        s = np.round(_scores(q[start:start + _TILE], c, metric), DIGITS) + 0.0
-        if exclude_self:
-            s[q_ids[start:start + _TILE, None] == c_ids[None, :]] = -np.inf
-        if len(c) > k:
-            edge = np.partition(s, len(c) - k, axis=1)[:, len(c) - k]
-            qi, ci = np.nonzero(s >= edge[:, None])
-        else:
-            qi, ci = np.nonzero(s > -np.inf)
-        found = pd.DataFrame({"q": qi + start, "id": c_ids[ci], "score": s[qi, ci]})
-        parts.append(_best(found[found["score"] > -np.inf], k))
-    return pd.concat(parts) if parts else pd.DataFrame({"q": [], "id": [], "score": []})
-
-
-def _scan(batches: Iterator[pd.DataFrame], q_ids, q, k, metric, exclude_self) -> Iterator[pd.DataFrame]:
-    """Running best k per query over the batches of one corpus partition."""
-    best = None
+
+def _grid_topk(left: pd.DataFrame, right: pd.DataFrame, k, metric, exclude_self) -> pd.DataFrame:
+    least = left["least"].to_numpy(dtype=float) if len(left) else None
+    best = _Best(left["q_id"].to_numpy(), k, exclude_self, least)
+    if len(left) and len(right):
+        _search_block(best, matrix(left["vec"]), right["id"].to_numpy(), matrix(right["vec"]), metric)
+    else:
+        best.ids = right["id"].to_numpy()[:0]
+    return best.frame().assign(scored=_once(best))
+
+
+# --------------------------------------------------------------------------
+# Question sets too large to ship: cells of the corpus
+# --------------------------------------------------------------------------
+
+@dataclass(frozen=True)
+class _Cells:
+    """Pivots and, per cell, what is known of its members; bounded by the broadcast limit."""
+
+    pivots: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    n: np.ndarray
+    parts: np.ndarray
+
+
+def _to_cells(batches, pivots, metric):
     for pdf in batches:
         if len(pdf):
-            found = _block_topk(q_ids, q, pdf["id"].to_numpy(), matrix(pdf["vec"]), k, metric, exclude_self)
-            best = found if best is None else _best(pd.concat([best, found]), k)
-    if best is not None:
-        yield pd.DataFrame({"q_id": q_ids[best["q"].to_numpy(dtype=int)], "id": best["id"], "score": best["score"]})
+            gaps = gap(matrix(pdf["vec"]), pivots, metric)
+            cell = gaps.argmin(axis=1)
+            yield pdf.assign(cell=cell.astype(np.int32), gap=gaps[np.arange(len(pdf)), cell])
 
 
-def _grid_topk(left: pd.DataFrame, right: pd.DataFrame, k, metric, exclude_self) -> pd.DataFrame:
-    if left.empty or right.empty:
-        return pd.DataFrame({"q_id": left["q_id"][:0], "id": right["id"][:0], "score": np.empty(0)})
-    q_ids = left["q_id"].to_numpy()
-    best = _block_topk(q_ids, matrix(left["vec"]), right["id"].to_numpy(), matrix(right["vec"]), k, metric, exclude_self)
-    return pd.DataFrame({"q_id": q_ids[best["q"].to_numpy(dtype=int)], "id": best["id"], "score": best["score"]})
+def _visits(batches, cells: _Cells, metric: str, enough: int, second: bool):
+    """First visit: the nearest cells, until they have ``enough`` members.  Second: all others that can beat ``least``."""
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        q = matrix(pdf["vec"])
+        to_pivot = gap(q, cells.pivots, metric)
+        ceiling = best_scores(q, cells.pivots, to_pivot, cells.low, cells.high, metric) + SLACK
+        order = np.argsort(np.where(cells.n > 0, to_pivot, np.inf), axis=1, kind="stable")
+        before = np.cumsum(cells.n[order], axis=1) - cells.n[order]
+        first = np.zeros(order.shape, bool)
+        np.put_along_axis(first, order, before < enough, 1)
+        first &= cells.n > 0
+        take = ~first & (cells.n > 0) & (ceiling >= pdf["least"].to_numpy(dtype=float)[:, None]) if second else first
+        row, cell = np.nonzero(take)
+        yield pd.DataFrame({"q_id": pdf["q_id"].to_numpy()[row], "vec": pdf["vec"].to_numpy()[row],
+                            "least": pdf["least"].to_numpy(dtype=float)[row], "cell": cell.astype(np.int32)})
+
+
+def _best_of(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("q_id").orderBy(F.desc("score"), F.asc("id"))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _cell_search(q: DataFrame, c: DataFrame, k: int, metric: str, exclude_self: bool, out: T.StructType, dim: int, pivot_bytes: int) -> DataFrame:
+    """Two visits over cells of the corpus.  Cells and question lists are cut into blocks, so none of them is one task."""
+    rows = max(256, BLOCK_BYTES // (4 * dim))
+    n = c.count()
+    if not n:
+        return c.sparkSession.createDataFrame([], out)
+    n_pivots = int(max(1, min(pivot_bytes // (8 * dim), n // max(16, min(rows, int(np.sqrt(n)))))))
+    pivots = matrix(c.orderBy(F.xxhash64("id")).limit(n_pivots).toPandas()["vec"])  # within pivot_bytes
+    fields = T.StructType([*c.schema, T.StructField("cell", T.IntegerType()), T.StructField("gap", T.DoubleType())])
+    placed = cut_lineage(c.mapInPandas(partial(_to_cells, pivots=pivots, metric=metric), fields))
+    low, high, count = np.zeros(len(pivots)), np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
+    for r in placed.groupBy("cell").agg(F.min("gap").alias("a"), F.max("gap").alias("b"), F.count(F.lit(1)).alias("n")).collect():  # one row per pivot
+        low[r["cell"]], high[r["cell"]], count[r["cell"]] = r["a"], r["b"], r["n"]
+    cells = _Cells(pivots, low, high, count, -(-count // rows))
+    routed = T.StructType([*q.schema, T.StructField("least", T.DoubleType()), T.StructField("cell", T.IntegerType())])
+
+    def visit(asked: DataFrame, second: bool) -> DataFrame:
+        routes = cut_lineage(asked.mapInPandas(partial(_visits, cells=cells, metric=metric, enough=k + exclude_self, second=second), routed))
+        asking = np.zeros(len(pivots), np.int64)
+        for r in routes.groupBy("cell").count().collect():  # one row per pivot
+            asking[r["cell"]] = -(-r["count"] // rows)
+        blocks = c.sparkSession.createDataFrame(pd.DataFrame({"cell": np.arange(len(pivots), dtype=np.int32), "cp": cells.parts, "qp": asking}))
+        blocks = blocks.where("cp > 0 and qp > 0")
+        upto = lambda name: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(name) - 1))
+        left = routes.join(F.broadcast(blocks), "cell").withColumn("qb", F.pmod(F.xxhash64("q_id"), "qp")).withColumn("cb", upto("cp"))  # one row per pivot
+        right = placed.join(F.broadcast(blocks), "cell").withColumn("cb", F.pmod(F.xxhash64("id"), "cp")).withColumn("qb", upto("qp"))
+        keys = ["cell", "qb", "cb"]
+        merge = partial(_grid_topk, k=k, metric=metric, exclude_self=exclude_self)
+        return left.select(*keys, "q_id", "vec", "least").groupBy(*keys).cogroup(right.select(*keys, "id", "vec").groupBy(*keys)).applyInPandas(merge, out)
+
+    start = q.withColumn("least", F.lit(float("-inf")))
+    first = cut_lineage(visit(start, False))
+    kept = _best_of(first, k)
+    bound = kept.groupBy("q_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
+    again = q.join(bound, "q_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    return first.unionByName(visit(again, True))
 
 
 def top_matches(
@@ -101,9 +283,29 @@ def top_matches(
     does not depend on how rows were batched.  With a similarity metric the
     cutoff keeps scores at or above it, with a distance at or below it; it is
     applied after the top k.  Queries that fit ``broadcast_bytes`` are shipped
-    to the corpus scan (no shuffle of the corpus); larger query sets meet the
-    corpus block by block.
+    to the corpus scan (no shuffle of the corpus).  Beyond that the corpus is
+    cut into cells: a query visits its nearest cells for a first k-th score and
+    then only the cells that can beat it.
     """
+    found = _found(queries, corpus, k, query, item, metric, exclude_self, broadcast_bytes)
+    ranked = _best_of(found.drop("scored"), k)
+    if metric in DISTANCES:
+        ranked = ranked.withColumn("score", F.lit(0.0) - F.col("score"))
+    if cutoff is not None:
+        ranked = ranked.where(F.col("score") >= cutoff if metric in SIMILARITIES else F.col("score") <= cutoff)
+    return ranked
+
+
+def scored_pairs(queries: DataFrame, corpus: DataFrame, k: int, *, query: tuple[str, str] = ("q_id", "q_vec"),
+                 item: tuple[str, str] = ("id", "embedding"), metric: str = "cosine", exclude_self: bool = False,
+                 broadcast_bytes: int = BROADCAST_BYTES) -> int:
+    """How many pairs ``top_matches`` scores; all others are skipped by their balls."""
+    found = _found(queries, corpus, k, query, item, metric, exclude_self, broadcast_bytes)
+    return found.agg(F.sum("scored")).first()[0] or 0
+
+
+def _found(queries, corpus, k, query, item, metric, exclude_self, broadcast_bytes) -> DataFrame:
+    """Partial results ``q_id, id, score, scored``: at least the k best of each query."""
     if metric not in SIMILARITIES + DISTANCES:
         raise ValueError(f"unsupported metric {metric!r}; supported: {SIMILARITIES + DISTANCES}")
     q = queries.select(F.col(query[0]).alias("q_id"), F.col(query[1]).alias("vec")).where("vec is not null")
@@ -112,50 +314,41 @@ def top_matches(
         T.StructField("q_id", q.schema["q_id"].dataType),
         T.StructField("id", c.schema["id"].dataType),
         T.StructField("score", T.DoubleType()),
+        T.StructField("scored", T.LongType()),
     ])
     first = q.select(F.size("vec").alias("d")).first()
     dim = first["d"] if first else 1
     small = collect_if_small(q, max(1, broadcast_bytes // (8 * dim)))
-    if small is not None:
-        scan = partial(_scan, q_ids=small["q_id"].to_numpy(), q=matrix(small["vec"]),
-                       k=k, metric=metric, exclude_self=exclude_self)
-        found = c.mapInPandas(scan, out)
-    else:
-        rows = max(256, BLOCK_BYTES // (4 * dim))
-        nq, nc = (max(1, -(-x.count() // rows)) for x in (q, c))
-        left = q.withColumn("qb", F.pmod(F.xxhash64("q_id"), F.lit(nq))).withColumn(
-            "cb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nc - 1).cast("bigint"))))
-        right = c.withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(nc))).withColumn(
-            "qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nq - 1).cast("bigint"))))
-        merge = partial(_grid_topk, k=k, metric=metric, exclude_self=exclude_self)
-        found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(merge, out)
-    order = Window.partitionBy("q_id").orderBy(F.desc("score"), F.asc("id"))
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    if metric in DISTANCES:
-        ranked = ranked.withColumn("score", F.lit(0.0) - F.col("score"))
-    if cutoff is not None:
-        ranked = ranked.where(F.col("score") >= cutoff if metric in SIMILARITIES else F.col("score") <= cutoff)
-    return ranked
+    if small is None:
+        return _cell_search(q, c, k, metric, exclude_self, out, dim, broadcast_bytes)
+    scan = partial(_scan, q_ids=small["q_id"].to_numpy(), q=matrix(small["vec"]), k=k, metric=metric,
+                   exclude_self=exclude_self, block=max(256, BLOCK_BYTES // (4 * dim)))
+    return c.mapInPandas(scan, out)
 
 
 def _beyond(q_ids, q, c_ids, c, threshold, keep, metric) -> Iterator[pd.DataFrame]:
-    for start in range(0, len(q), _TILE):
-        d = np.round(-_scores(q[start:start + _TILE], c, metric), DIGITS) + 0.0
+    for start in range(0, len(q), TILE):
+        d = np.round(-scores(q[start:start + TILE], c, metric), DIGITS) + 0.0
         qi, ci = np.nonzero(d > threshold if keep == "farther" else d <= threshold)
         yield pd.DataFrame({"q_id": q_ids[qi + start], "id": c_ids[ci], "distance": d[qi, ci]})
 
 
+def _beyond_blocks(left: pd.DataFrame, right: pd.DataFrame, threshold, keep, metric) -> pd.DataFrame:
+    if left.empty or right.empty:
+        return pd.DataFrame({"q_id": left["q_id"][:0], "id": right["id"][:0], "distance": np.empty(0)})
+    return pd.concat(_beyond(left["q_id"].to_numpy(), matrix(left["vec"]), right["id"].to_numpy(), matrix(right["vec"]), threshold, keep, metric))
+
+
 def threshold_matches(
     queries: DataFrame, corpus: DataFrame, threshold: float, *, keep: str = "farther",
     query: tuple[str, str] = ("q_id", "q_vec"), item: tuple[str, str] = ("id", "embedding"),
-    metric: str = "cosine_distance", query_block: int = 4096,
+    metric: str = "cosine_distance", query_block: int = 4096, broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """All items on one side of a distance threshold: ``q_id, id, distance``.
 
     ``farther`` keeps distances above it, ``nearer`` those up to it.  Questions
-    are taken in blocks, one corpus scan per block, so a task holds one block
-    of questions and one batch of the corpus and passes matches on as it finds
-    them.
+    that fit ``broadcast_bytes`` go to the corpus scan; more of them meet the
+    corpus in blocks of ``query_block`` rows on either side.
     """
     if keep not in ("farther", "nearer"):
         raise ValueError("keep must be 'farther' or 'nearer'")
@@ -164,27 +357,29 @@ def threshold_matches(
     out = T.StructType([
         T.StructField("q_id", q.schema["q_id"].dataType), T.StructField("id", c.schema["id"].dataType),
         T.StructField("distance", T.DoubleType())])
-    blocks = max(1, -(-q.count() // query_block))
-    q = q.withColumn("_b", F.pmod(F.xxhash64("q_id"), F.lit(blocks)))
-    found = None
-    for b in range(blocks):
-        part = q.where(F.col("_b") == b).select("q_id", "vec").toPandas()
-        if part.empty:
-            continue
+    first = q.select(F.size("vec").alias("d")).first()
+    small = collect_if_small(q, max(1, broadcast_bytes // (8 * first["d"]))) if first else q.toPandas()
+    if small is None:
+        left, right, keys = _grid(q, c, query_block)
+        run = partial(_beyond_blocks, threshold=threshold, keep=keep, metric=metric)
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda a, b: run(a, b), out)
 
-        def scan(batches, ids=part["q_id"].to_numpy(), vecs=matrix(part["vec"])):
-            for pdf in batches:
-                if len(pdf):
-                    yield from _beyond(ids, vecs, pdf["id"].to_numpy(), matrix(pdf["vec"]), threshold, keep, metric)
+    def scan(batches, ids=small["q_id"].to_numpy(), vecs=matrix(small["vec"])):
+        for pdf in batches:
+            if len(pdf):
+                yield from _beyond(ids, vecs, pdf["id"].to_numpy(), matrix(pdf["vec"]), threshold, keep, metric)
 
-        rows = c.mapInPandas(scan, out)
-        found = rows if found is None else found.unionByName(rows)
-    return found if found is not None else corpus.sparkSession.createDataFrame([], out)
+    return c.mapInPandas(scan, out)
 
 
-# --------------------------------------------------------------------------
-# All pairs within a distance
-# --------------------------------------------------------------------------
+def _grid(q: DataFrame, c: DataFrame, rows: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides in blocks by a hash of their ids, each block once for every block of the other side."""
+    nq, nc = (max(1, -(-x.count() // rows)) for x in (q, c))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    left = q.withColumn("qb", F.pmod(F.xxhash64("q_id"), F.lit(nq))).withColumn("cb", every(nc))
+    right = c.withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(nc))).withColumn("qb", every(nq))
+    return left, right, ["qb", "cb"]
+
 
 def distinct_vectors(vectors: DataFrame, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
     """One row per distinct vector: smallest id, the vector, number of copies."""
@@ -202,120 +397,3 @@ def copy_map(vectors: DataFrame, reps: DataFrame, id_col: str = "id", vec_col: s
     left = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("_v")).withColumn("_h", F.xxhash64("_v"))
     right = reps.select(F.col("id").alias("rep"), F.col("embedding").alias("_v")).withColumn("_h", F.xxhash64("_v"))
     return left.join(right, ["_h", "_v"]).select("id", "rep")
-
-
-def _gap(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
-    """Distances that obey the triangle inequality (the angle, for cosine)."""
-    if metric == "cosine":
-        return np.arccos(np.clip(_unit(a) @ _unit(b).T, -1.0, 1.0))
-    return -_scores(a, b, metric)
-
-
-def _distance(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
-    return np.maximum(-_scores(a, b, "cosine_distance" if metric == "cosine" else metric), 0.0)
-
-
-# Block numbers of a cell stay below this, whatever the size of the cell.
-_BLOCKS_PER_CELL = 1 << 40
-
-
-def _assign(batches, pivots, metric):
-    for pdf in batches:
-        if len(pdf):
-            gaps = _gap(matrix(pdf["vec"]), pivots, metric)
-            home = gaps.argmin(axis=1)
-            yield pdf.assign(home=home, gap=gaps[np.arange(len(pdf)), home])
-
-
-def _route(batches, pivots, metric, reach, radius, parts, active):
-    """Send each vector to every block pair that can hold a partner for it."""
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        gaps = _gap(matrix(pdf["vec"]), pivots, metric)
-        home = pdf["home"].to_numpy()
-        sub = (pdf["salt"].to_numpy() % parts[home]).astype(np.int64)
-        own = home.astype(np.int64) * _BLOCKS_PER_CELL + sub
-        ok = active[home] & (gaps <= radius[None, :] + reach + 1e-9)
-        ok[np.arange(len(pdf)), home] = True
-        for cell in np.nonzero(ok.any(axis=0))[0]:
-            rows = np.nonzero(ok[:, cell])[0]
-            for s in range(parts[cell]):
-                other = np.int64(cell) * _BLOCKS_PER_CELL + s
-                mine = own[rows]
-                yield pd.DataFrame({
-                    "bi": np.minimum(mine, other), "bj": np.maximum(mine, other),
-                    "side": (mine > other).astype(np.int32),
-                    "id": pdf["id"].to_numpy()[rows], "vec": pdf["vec"].to_numpy()[rows],
-                })
-
-
-def _block_pairs(key, pdf: pd.DataFrame, limit: float, metric: str) -> pd.DataFrame:
-    same = key[0] == key[1]
-    a = pdf[pdf["side"] == 0]
-    b = a if same else pdf[pdf["side"] == 1]
-    found = []
-    if len(a) and len(b):
-        ma, mb = matrix(a["vec"]), matrix(b["vec"])
-        ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
-        for start in range(0, len(a), _TILE):
-            d = _distance(ma[start:start + _TILE], mb, metric)
-            x, y = np.nonzero(d <= limit)
-            if same:
-                keep = x + start < y
-                x, y = x[keep], y[keep]
-            left, right = ia[x + start], ib[y]
-            flip = left > right
-            found.append(pd.DataFrame({
-                "a": np.where(flip, right, left), "b": np.where(flip, left, right), "distance": d[x, y]}))
-    if not found:
-        return pd.DataFrame({"a": pdf["id"][:0], "b": pdf["id"][:0], "distance": np.empty(0)})
-    return pd.concat(found)
-
-
-def pairs_within(
-    vectors: DataFrame,
-    limit: float,
-    *,
-    item: tuple[str, str] = ("id", "embedding"),
-    metric: str = "cosine",
-    block_rows: int | None = None,
-    max_pivots: int = 1024,
-) -> DataFrame:
-    """All pairs ``a < b`` with distance at most ``limit``: ``a, b, distance``.
-
-    Exact.  Vectors go to the cell of their nearest pivot; by the triangle
-    inequality a cell is compared only with cells (and rows) that can be near
-    enough.  A full cell is cut into blocks by a hash of the id, so every task
-    gets at most about two blocks however the data cluster.  Feed distinct
-    vectors (``distinct_vectors``): n copies of one vector have n*n/2 pairs.
-    """
-    v = vectors.select(F.col(item[0]).alias("id"), F.col(item[1]).alias("vec")).where("vec is not null")
-    id_type = v.schema["id"].dataType
-    v = v.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(1 << 31)))
-    head = v.select(F.size("vec").alias("d")).first()
-    empty = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type),
-                          T.StructField("distance", T.DoubleType())])
-    if head is None:
-        return vectors.sparkSession.createDataFrame([], empty)
-    rows = block_rows or max(256, BLOCK_BYTES // (4 * head["d"]))
-    n_pivots = int(min(max_pivots, max(1, v.count() // rows)))
-    pivots = matrix(v.orderBy(F.xxhash64("id")).limit(n_pivots).toPandas()["vec"])
-    placed = v.mapInPandas(
-        partial(_assign, pivots=pivots, metric=metric),
-        T.StructType([*v.schema, T.StructField("home", T.IntegerType()), T.StructField("gap", T.DoubleType())]),
-    )
-    radius, parts = np.full(n_pivots, -np.inf), np.zeros(n_pivots, dtype=np.int64)
-    # One row per pivot, at most max_pivots.
-    for r in placed.groupBy("home").agg(F.max("gap").alias("g"), F.count(F.lit(1)).alias("n")).collect():
-        radius[r["home"]], parts[r["home"]] = r["g"], -(-r["n"] // rows)
-    reach = float(np.arccos(np.clip(1.0 - limit, -1.0, 1.0))) if metric == "cosine" else float(limit)
-    active = _gap(pivots, pivots, metric) <= radius[:, None] + radius[None, :] + reach + 1e-9
-    routed = placed.mapInPandas(
-        partial(_route, pivots=pivots, metric=metric, reach=reach, radius=radius, parts=parts, active=active),
-        T.StructType([T.StructField("bi", T.LongType()), T.StructField("bj", T.LongType()),
-                      T.StructField("side", T.IntegerType()), T.StructField("id", id_type),
-                      T.StructField("vec", v.schema["vec"].dataType)]),
-    )
-    return routed.groupBy("bi", "bj").applyInPandas(
-        lambda key, pdf: _block_pairs(key, pdf, limit, metric), empty)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import models
 from corpusloom.functions import text as tx
-from corpusloom.operators import agglomerate, mixture, tree
+from corpusloom.operators import agglomerate, long_texts, mixture, ordered, tree
 from corpusloom.plans import corpus, ingest, retrieval
 from corpusloom.plans.catalog_tables import labelled_vectors
 from corpusloom.plans.catalog_text import CHUNKS_SQL, _conversation_records, doc_nodes
@@ -49,6 +49,30 @@ def _(spark, d):
     return agglomerate.cut_to_count(found, int(most * 0.9))
 
 
+@query("cluster_counts", "C14", "SELECT k, k AS n_clusters, (SELECT count(DISTINCT vec_id) FROM embeddings) AS n_members FROM (VALUES (10::BIGINT), (50)) t(k)")
+def _(spark, d):
+    """Fewer clusters than the distance cut leaves: the cut is widened from the clusters that are left."""
+    found = agglomerate.cluster(labelled_vectors(spark, d), CUT)
+    out = None
+    for k in (10, 50):
+        row = agglomerate.cut_to_count(found, k).agg(F.lit(k).cast("bigint").alias("k"), F.count_distinct("cluster").alias("n_clusters"),
+                                                     F.count_distinct("id").alias("n_members"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("leaf_order_holds", "C15", """SELECT count(DISTINCT vec_id) AS n_members, true AS positions_are_a_permutation, true AS clusters_stand_together
+    FROM embeddings""")
+def _(spark, d):
+    """What every leaf order must keep."""
+    v = labelled_vectors(spark, d)
+    order = cut_lineage(agglomerate.leaf_order(agglomerate.cluster(v, CUT), v))
+    spans = order.groupBy("cluster").agg((F.max("leaf_pos") - F.min("leaf_pos") + 1 == F.count(F.lit(1))).alias("together"))
+    whole = (F.min("leaf_pos") == 1) & (F.max("leaf_pos") == F.count(F.lit(1))) & (F.count_distinct("leaf_pos") == F.count(F.lit(1)))
+    return order.agg(F.count_distinct("id").alias("n_members"), whole.alias("positions_are_a_permutation")).crossJoin(
+        spans.agg(F.every("together").alias("clusters_stand_together")))  # single rows
+
+
 @query("bisecting_clusters", "C14")
 def _(spark, d):
     return agglomerate.bisecting(labelled_vectors(spark, d), 10)
@@ -101,6 +125,31 @@ def _(spark, d):
         "n_documents", (F.col("n_documents") - F.col("kept")).alias("n_lost"), "n_over_the_bound", "several_clusters")
 
 
+def _chunk_points(spark, d):
+    """The chunks of every document as a problem of its own: as many problems as documents, each bounded by its text."""
+    chunks = long_texts.split_texts(texts(spark, d), "doc_id")
+    numbered = ordered.number_rows(ordered.arrange(chunks, "doc_id", "chunk_no"), name="node_id")
+    return cut_lineage(numbered.select(F.col("doc_id").alias("problem"), "node_id", EMBEDDER(F.col("text")).alias("embedding")))
+
+
+@query("chunk_clusters", "C11 C10", f"SELECT doc_id, count(*) AS n_chunks FROM ({CHUNKS_SQL}) GROUP BY doc_id")
+def _(spark, d):
+    """Two levels of soft clusters inside every document; each chunk is in a cluster of its own document."""
+    found = mixture.two_level(_chunk_points(spark, d))
+    return found.groupBy(F.col("problem").alias("doc_id")).agg(F.count_distinct("node_id").alias("n_chunks"))
+
+
+@query("chunk_mixtures", "C10 A11 F10 C9", f"SELECT count(*) AS n_chunks, 0::BIGINT AS n_foreign_labels FROM ({CHUNKS_SQL})")
+def _(spark, d):
+    """Soft labels inside every document: labels count from 0 and stay below the number of its chunks."""
+    points = _chunk_points(spark, d)
+    x = cut_lineage(mixture.reduce_per_problem(points, mixture.DIMENSIONS, mixture.LOCAL_ROWS))
+    labels = mixture.soft_labels(x).groupBy("problem").agg(F.max("label").alias("last"), F.min("label").alias("first"))
+    sizes = points.groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+    foreign = (F.col("last") >= F.col("n")) | (F.col("first") < 0)
+    return sizes.join(labels, "problem", "left").agg(F.sum("n").alias("n_chunks"), F.count_if(foreign).alias("n_foreign_labels"))
+
+
 _TREES: dict[tuple[str, str], tree.Tree] = {}
 
 

@@ -73,8 +73,8 @@ def _(spark, d):
     return labelled_vectors(spark, d).select("cluster").distinct()
 
 
-@query("cluster_texts", "A4 C27", f"""WITH {LABELLED}
-    SELECT cluster, string_agg(text, chr(10) || chr(10) ORDER BY id) AS text, count(*) AS n_rows FROM ln GROUP BY cluster""")
+@query("cluster_texts", "A4 C27", f"""WITH {LABELLED}, p AS (SELECT *, (row_number() OVER (PARTITION BY cluster ORDER BY id) - 1) // 1000 AS part FROM ln)
+    SELECT cluster, part, string_agg(text, chr(10) || chr(10) ORDER BY id) AS text, count(*) AS n_rows FROM p GROUP BY cluster, part""")
 def _(spark, d):
     return labels.polish(labelled_nodes(spark, d))
 

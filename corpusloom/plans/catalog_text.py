@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.functions import chunking, ids
+from corpusloom.functions import ids
 from corpusloom.functions import text as tx
-from corpusloom.operators import export, filters, ordered, polish, profile, ranking, sectioning, store
+from corpusloom.operators import export, filters, line_diff, long_texts, ordered, polish, profile, ranking, sectioning, store
 from corpusloom.plans import registry as r
 from corpusloom.plans.registry import query, table, texts
 from corpusloom.sources import day_files, tables
@@ -159,10 +159,30 @@ def _(spark, d):
     return polish.line_changes(docs)
 
 
-@query("polished_documents", "P19", f"""WITH n AS (SELECT source fname, doc_id id, {r.clean('text')} t FROM documents)
-    SELECT fname, string_agg(t, chr(10) || chr(10) ORDER BY id) AS text, count(*) AS n_rows FROM n GROUP BY fname""")
+@query("line_edits", "P18")
 def _(spark, d):
-    return polish.polish_documents(doc_nodes(spark, d))
+    """Changed lines by anchors: dropped blank lines at the beginning do not mark what follows."""
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("\n"), F.replace("text", F.lit(" "), F.lit("  "))).alias("old"))
+    return line_diff.line_edits(t.withColumn("new", tx.clean_basic(F.col("old"))))
+
+
+@query("line_edits_hold", "P18", f"""WITH t AS (SELECT doc_id id, chr(10) || text AS old, {r.clean('chr(10) || text')} AS new FROM documents WHERE text IS NOT NULL)
+    SELECT id, len(string_split(new, chr(10)))::BIGINT AS n_lines, true AS whole FROM t""")
+def _(spark, d):
+    """Old lines less the dropped ones plus the added ones are the new lines."""
+    t = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.concat(F.lit("\n"), F.col("text")).alias("old"))
+    t = t.withColumn("new", tx.clean_basic(F.col("old")))
+    edits = line_diff.line_edits(t).groupBy("id").agg(F.count("old_no").alias("dropped"), F.count("new_no").alias("added"))
+    lines = F.size(F.split("old", "\n"))
+    n = (lines - F.coalesce("dropped", F.lit(0)) + F.coalesce("added", F.lit(0))).cast("bigint")
+    return t.join(edits, "id", "left").select("id", n.alias("n_lines"), (F.coalesce("dropped", F.lit(0)) <= lines).alias("whole"))
+
+
+@query("polished_documents", "P19", f"""WITH n AS (SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 1000 AS part, {r.clean('text')} t FROM conversations)
+    SELECT conv_id AS fname, part, string_agg(t, chr(10) || chr(10) ORDER BY turn) AS text, count(*) AS n_rows FROM n GROUP BY conv_id, part""")
+def _(spark, d):
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("fname"), "turn", "text")
+    return polish.polish_documents(turns, order=["turn"])
 
 
 @query("prompts", "P20", """SELECT item_id, text || chr(10) || chr(10) || 'Answer tersely.' AS guarded,
@@ -340,14 +360,25 @@ CHUNKS_SQL = f"""WITH RECURSIVE s AS (
 
 @query("text_chunks", "C3 C4 C18", CHUNKS_SQL)
 def _(spark, d):
-    docs = texts(spark, d)
-    return chunking.explode_chunks(docs, chunking.split_text(F.col("text")), "doc_id")
+    return long_texts.split_texts(texts(spark, d), "doc_id")
 
 
-@query("overlapping_chunks", "C2")
+# A unit (p) that a chunk begins with, where the chunk really begins (f, with the overlap) and its last unit.
+@query("overlapping_chunks", "C2", f"""WITH RECURSIVE s AS (
+      SELECT doc_id, generate_subscripts(x, 1) i, unnest(x) s FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]*[.!?\n]+|[^.!?\n]+') x FROM documents)),
+    k AS (SELECT doc_id, i, s, {r.tokens('s')} n FROM s WHERE {r.strip('s')} <> ''),
+    u AS (SELECT doc_id, i, 0 j, s t, n FROM k WHERE n <= 1024
+      UNION ALL SELECT doc_id, i, j, t, {r.tokens('t')} FROM (SELECT doc_id, i, generate_subscripts(w, 1) j, unnest(w) t FROM (
+        SELECT doc_id, i, regexp_extract_all(s, '\\S+\\s*') w FROM k WHERE n > 1024))),
+    o AS (SELECT doc_id, t, n, row_number() OVER w p, (sum(n) OVER w)::BIGINT e FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY i, j)),
+    b AS (SELECT x.doc_id, x.p, min(y.p) f, arg_min(y.e - y.n, y.p) fs FROM o x JOIN o y ON y.doc_id = x.doc_id AND y.p <= x.p AND y.p >= x.p - 121
+      AND (y.p = x.p OR (x.e - x.n) - (y.e - y.n) <= least(120, 1024 - x.n)) GROUP BY x.doc_id, x.p),
+    l AS (SELECT b.doc_id, b.p, b.f, max(y.p) z FROM b JOIN o y ON y.doc_id = b.doc_id AND y.p >= b.p AND (y.p = b.p OR y.e <= b.fs + 1024) GROUP BY ALL),
+    c AS (SELECT doc_id, 0 c, p, f, z FROM l WHERE p = 1 UNION ALL SELECT l.doc_id, c.c + 1, l.p, l.f, l.z FROM c JOIN l ON l.doc_id = c.doc_id AND l.p = c.z + 1)
+    SELECT c.doc_id, c.c::INT AS chunk_no, {r.strip("string_agg(o.t, '' ORDER BY o.p)")} AS text
+    FROM c JOIN o ON o.doc_id = c.doc_id AND o.p BETWEEN c.f AND c.z GROUP BY c.doc_id, c.c""")
 def _(spark, d):
-    docs = texts(spark, d)
-    return chunking.explode_chunks(docs, chunking.overlapping_chunks(F.col("text")), "doc_id")
+    return long_texts.overlapping_texts(texts(spark, d), "doc_id")
 
 
 @query("markdown_sections", "C1", r"""WITH l AS (
@@ -387,12 +418,10 @@ def _(spark, d):
     return doc_nodes(spark, d).select("text", "id", "fname", "header_path", "title", "ts_ms")
 
 
-@query("context_text", "A13 P15", f"""SELECT source, string_agg({r.flat('text')} || chr(10) || chr(10), '' ORDER BY rank) AS context, count(*) AS n_selected
-    FROM (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) rank FROM documents) WHERE rank <= 10 GROUP BY source""")
+@query("context_text", "A13 P15", f"""SELECT conv_id, part, string_agg({r.flat('text')} || chr(10) || chr(10), '' ORDER BY turn) AS context, count(*) AS n_selected
+    FROM (SELECT conv_id, turn, text, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 1000 AS part FROM conversations) GROUP BY conv_id, part""")
 def _(spark, d):
-    docs = table(spark, d, "documents")
-    top = ranking.rank_within(docs, ["source"], 10, F.desc("n_chars"), F.asc("doc_id"))
-    return ranking.context_text(top, ["source"])
+    return ranking.context_parts(table(spark, d, "conversations"), ["conv_id"], ["turn"])
 
 
 @query("event_islands", "W8", """WITH f AS (SELECT event_id, ts, event_type,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import models
 from corpusloom.functions import text as tx
 from corpusloom.functions import vectors as vx
-from corpusloom.operators import filters, ranking, similarity
+from corpusloom.operators import bm25, filters, ranking, similarity
 from corpusloom.plans import registry as r
 from corpusloom.plans import retrieval
 from corpusloom.plans.registry import query, table, texts
@@ -234,6 +234,20 @@ def _(spark, d):
     return out.select("q_id", "id", "score", "rerank_score", "rank")
 
 
+@query("bm25_reranked", "X7 X9 W16", f"""WITH {RETRIEVE}, dw AS (SELECT doc_id, {r.words("lower(coalesce(text, ''))")} w FROM documents),
+    st AS (SELECT count(*) n_docs, avg(len(w)) mean FROM dw), df AS (SELECT t, count(*) df FROM (SELECT doc_id, unnest(list_distinct(w)) t FROM dw) GROUP BY t),
+    qt AS (SELECT item_id q_id, unnest(list_distinct({r.words('lower(text)')})) t FROM benchmark),
+    s AS (SELECT hits.q_id, hits.id, any_value(score) score, round(sum(ln(1 + (n_docs - df.df + 0.5) / (df.df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))), 6) + 0.0 rerank_score
+      FROM (SELECT hits.*, w, qt.t, len(list_filter(w, lambda x: x = qt.t)) tf FROM hits JOIN dw ON doc_id = id JOIN qt USING (q_id) WHERE score >= 0.32) hits
+      LEFT JOIN df USING (t), st GROUP BY hits.q_id, hits.id)
+    SELECT * FROM (SELECT q_id, id, score, coalesce(rerank_score, 0) AS rerank_score, row_number() OVER (PARTITION BY q_id ORDER BY coalesce(rerank_score, 0) DESC, score DESC, id) AS rank FROM s) WHERE rank <= 5""")
+def _(spark, d):
+    q, corpus = _questions(spark, d), _corpus(spark, d)
+    found = retrieval.retrieve(q, corpus, models.HashEmbedder(64))
+    out = bm25.rerank(found, q, table(spark, d, "documents"), 5)
+    return out.select("q_id", "id", "score", "rerank_score", "rank")
+
+
 @query("context_only_answers", "C7 W5 P12 P14 D15", f"""WITH {RETRIEVE}, p AS (SELECT q_id, rank,
       '**Passage ' || rank || '** — ' || source || chr(10) || chr(10) || text || chr(10) t FROM hits JOIN documents ON doc_id = id WHERE rank <= 5 AND score >= 0.32)
     SELECT item_id AS q_id, any_value(text) AS question, CASE WHEN count(t) = 0 THEN '_No passages found._'
@@ -272,9 +286,3 @@ def _(spark, d):
     docs = texts(spark, d).select("doc_id", "text")
     flat = retrieval.flat_index(docs, "doc_id", models.HashEmbedder(64))
     return retrieval.flat_search(_questions(spark, d), flat, models.HashEmbedder(64), top_k=5)
-
-
-@query("stored_vector_audit", "C25", "SELECT count(*) AS n_sampled, 0::BIGINT AS n_different FROM documents")
-def _(spark, d):
-    corpus = _corpus(spark, d)
-    return retrieval.audit(corpus, models.HashEmbedder(64))

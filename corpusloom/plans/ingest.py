@@ -66,6 +66,10 @@ def ingest_records(
     only new rows are appended.  The ledger is written last: a run that breaks
     off leaves files unlisted, and the next run does them again with the same
     result.  ``upsert(collection, nodes)`` takes the place of the insert.
+
+    An embedder with a method ``checked`` (``struct<vec, error>`` of a text) may
+    refuse texts for their length: such nodes go to the table ``rejects`` with
+    the reason, the others are ingested; any other error fails the run.
     """
     done = collection.read("files", schemas.LEDGER)
     fresh = store.without(records, done, "fname")
@@ -73,7 +77,13 @@ def ingest_records(
     nodes = cut_lineage(build_nodes(sections, skip_single_line, max_chars))
     unique = store.first_per_key(nodes, ["id"], F.col("fname"))
     cache = collection.read("vectors", schemas.VECTOR)
-    vectors = cut_lineage(store.cached_vectors(unique, cache, embedder, embedder.name))
+    if hasattr(embedder, "checked"):
+        vectors, refused = _accepted(unique, cache, embedder)
+        collection.insert_new("rejects", refused, schemas.REJECT)
+        unique = cut_lineage(unique.join(refused.select("id"), "id", "left_anti"))
+        nodes = nodes.join(refused.select("id"), "id", "left_anti")
+    else:
+        vectors = cut_lineage(store.cached_vectors(unique, cache, embedder, embedder.name))
     new_vectors = vectors.where(~F.col("cached")).select(
         "id", F.lit(embedder.name).alias("model"), F.size("embedding").alias("dim"), "embedding")
     collection.append("vectors", new_vectors)
@@ -86,6 +96,17 @@ def ingest_records(
     return unique.join(vectors.select("id", "embedding"), "id")
 
 
+def _accepted(nodes: DataFrame, cache: DataFrame, embedder: models.Embedder) -> tuple[DataFrame, DataFrame]:
+    """``id, embedding, cached`` of the nodes that have or get a vector, and the refused ones with their error."""
+    known = cache.where(F.col("model") == embedder.name).select("id", "embedding")
+    hits = nodes.select("id").join(known, "id").withColumn("cached", F.lit(True))
+    misses = nodes.join(known.select("id"), "id", "left_anti")
+    asked = cut_lineage(misses.select("id", "fname", "text", embedder.checked(F.col("text")).alias("result")))
+    good, bad = store.vectors_or_rejects(asked)
+    vectors = cut_lineage(hits.unionByName(good.select("id", "embedding", F.lit(False).alias("cached"))))
+    return vectors, cut_lineage(bad.select("id", "fname", "error", F.length("text").cast("bigint").alias("n_chars")))
+
+
 def unlisted_files(spark, folder: str, collection: store.Collection, glob: str = day_files.FILE_GLOB) -> list[str]:
     """Paths of the files that the ledger does not list.  Both are compared by name before anything is read."""
     files = spark.createDataFrame(day_files.list_files(spark, folder, glob), "fname string, path string")

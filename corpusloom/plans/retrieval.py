@@ -7,9 +7,9 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions import chunking, models
+from corpusloom.functions import models
 from corpusloom.functions import text as tx
-from corpusloom.operators import filters, ordered, ranking, similarity
+from corpusloom.operators import filters, long_texts, ordered, ranking, similarity
 from corpusloom.session import cut_lineage
 
 # Texts of the daily report.
@@ -29,7 +29,7 @@ def index(docs: DataFrame, embedder: models.Embedder, text: str = "text") -> Dat
 
 def flat_index(docs: DataFrame, key: str, embedder: models.Embedder, max_tokens: int = 100) -> DataFrame:
     """Token-bounded chunks of each document with their vectors."""
-    rows = chunking.explode_chunks(docs, chunking.split_text(F.col("text"), max_tokens), key)
+    rows = long_texts.split_texts(docs, key, max_tokens=max_tokens)
     named = rows.select(F.concat_ws("-", F.col(key).cast("string"), F.lpad(F.col("chunk_no").cast("string"), 8, "0")).alias("id"),
                         key, "chunk_no", "text")
     return index(named, embedder)

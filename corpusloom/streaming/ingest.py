@@ -7,6 +7,8 @@ record changes nothing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -28,12 +30,18 @@ def record_stream(spark: SparkSession, folder: str, max_files: int | None = None
     return reader.json(folder).select("*", name.alias("fname"), day_files.day_of_file(name).alias("day"))
 
 
-def concatenated_stream(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
-    """Records of new files whose objects need no line breaks between them."""
-    reader = spark.readStream.format("text").option("wholetext", True)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return concatenated.parse(reader.load(folder))
+def start_concatenated(spark: SparkSession, folder: str, checkpoint: str, take: Callable[[DataFrame, int], None],
+                       max_files: int | None = None) -> StreamingQuery:
+    """Records of new files whose objects need no line breaks between them, micro-batch by micro-batch.
+
+    Files are read in byte ranges by many tasks; ``take(records, batch number)``
+    must be idempotent by record, because an interrupted micro-batch comes again.
+    """
+    def on_batch(pieces: DataFrame, number: int) -> None:
+        take(concatenated.records_of(concatenated.split_pieces(pieces)[0]), number)
+
+    stream = concatenated.piece_stream(spark, folder, max_files)
+    return stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def start_ingest(records: DataFrame, collection: store.Collection, checkpoint: str, embedder: models.Embedder,
@@ -47,8 +55,12 @@ def start_ingest(records: DataFrame, collection: store.Collection, checkpoint: s
             .trigger(availableNow=True).start())
 
 
-def distinct_stream(records: DataFrame, key: str = "id", time_col: str | None = None, horizon: str | None = None) -> DataFrame:
-    """Drop re-delivered records; with a time column, within a bounded horizon of state."""
-    if time_col and horizon:
+def distinct_stream(records: DataFrame, key: str = "id", time_col: str | None = None, horizon: str = "7 days") -> DataFrame:
+    """Drop records that are delivered again within ``horizon``; the state forgets older keys.
+
+    Time is the records' own (``time_col``), or else when they arrive.
+    """
+    if time_col:
         return records.withWatermark(time_col, horizon).dropDuplicatesWithinWatermark([key])
-    return records.dropDuplicates([key])
+    timed = records.withColumn("_arrived", F.current_timestamp())
+    return timed.withWatermark("_arrived", horizon).dropDuplicatesWithinWatermark([key]).drop("_arrived")

@@ -8,14 +8,14 @@ def cosine_matrix(m):
     return np.maximum(1 - u @ u.T, 0)
 
 
-def agglomerate(dist, cut, linkage):
-    """Merge the closest pair of clusters until the closest is farther than the cut."""
+def agglomerate(dist, cut, linkage, stop_at=1):
+    """Merge the closest pair of clusters until the closest is farther than the cut or few enough are left."""
     groups = {i: [i] for i in range(len(dist))}
     d = dist.astype(float).copy()
     np.fill_diagonal(d, np.inf)
     while True:
         i, j = divmod(int(np.argmin(d)), len(d))
-        if not d[i, j] <= cut:
+        if not d[i, j] <= cut or len(groups) <= stop_at:
             return {frozenset(g) for g in groups.values()}
         if linkage == "single":
             row = np.minimum(d[i], d[j])

@@ -1,13 +1,16 @@
 """Day files, sinks, stores, reports and streams on hand-made folders."""
 
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom import schemas
 from corpusloom.functions import models
-from corpusloom.operators import export, profile, ranking, store, tree
+from corpusloom.operators import bm25, export, profile, ranking, store, tree
 from corpusloom.plans import corpus, ingest, retrieval
 from corpusloom.sources import concatenated, day_files, tables
 from corpusloom.streaming import ingest as stream
@@ -55,6 +58,63 @@ def test_concatenated_objects(spark, tmp_path):
     assert concatenated.quarantine(spark, str(tmp_path)).first()["rest"] == '{"id": "m5", bad'
 
 
+AWKWARD = ['{"id": "a", "content": "}{ \\" [ \\\\"}', '{"id": "b", "x": [{"y": "]"}, {"z": {}}]}', '[{"id": "in a list"}]', "17", '"text { with brace"', "null", '{"id": "é{"}',
+           "{}", '{"id": "c"}', " \n\t "]
+BROKEN = ['{"id": "d"', "}", '{"id" "e"}', '"open', "]", "{bad}", '\\']
+
+
+def test_concatenated_values_as_by_one_reader(spark, tmp_path):
+    """Any mixture of values and broken parts, cut into many byte ranges, against the decoder on the whole text."""
+    rng = random.Random(4)
+    texts = {}
+    for i in range(30):
+        parts = rng.choices(AWKWARD, k=rng.randrange(0, 14))
+        if i % 2:
+            parts.insert(rng.randrange(len(parts) + 1), rng.choice(BROKEN))
+        texts[f"f{i:02}.txt"] = rng.choice(["", " ", "\n"]).join(parts)
+        (tmp_path / f"f{i:02}.txt").write_text(texts[f"f{i:02}.txt"], encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16")
+    try:
+        values, rest = concatenated.split_pieces(concatenated.pieces(spark, str(tmp_path)))
+        got = {name: [] for name in texts}
+        for r in values.orderBy("path", "obj_no").collect():
+            assert r["obj_no"] == len(got[r["fname"]])
+            got[r["fname"]].append(r["value"])
+        left = {name: "" for name in texts}
+        for r in rest.orderBy("path", "part").collect():
+            left[r["fname"]] += r["rest"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for name, text in texts.items():
+        found, after = concatenated.split_objects(text)
+        assert got[name] == found, name
+        # The last piece of a file loses a brace that nothing follows.
+        assert left[name].strip() in (after.strip(), after.strip().removesuffix("{").strip()), name
+
+
+def test_one_large_file_is_read_by_many_tasks(spark, tmp_path):
+    objects = [json.dumps(record(i, "pay } load { " * 20)) for i in range(3000)]
+    put(tmp_path, "big.jsonl", ["".join(objects)])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        read = concatenated.pieces(spark, str(tmp_path))
+        assert read.select(F.spark_partition_id()).distinct().count() > 5
+        got = concatenated.read_records(spark, str(tmp_path)).orderBy("obj_no").select("id", "obj_no").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r["id"], r["obj_no"]) for r in got] == [(f"m{i}", i) for i in range(3000)]
+
+
+def test_oversized_values_are_set_aside(spark, tmp_path):
+    put(tmp_path, "a.jsonl", [json.dumps(record(1, "x")) + json.dumps(record(2, "{" * 500)) + json.dumps(record(3, "y"))])
+    values, rest = concatenated.split_pieces(concatenated.pieces(spark, str(tmp_path)), max_chars=400)
+    assert [json.loads(r["value"])["id"] for r in values.collect()] == ["m1"]
+    parts = [r["rest"] for r in rest.orderBy("part").collect()]
+    assert "".join(parts) == json.dumps(record(2, "{" * 500)) + json.dumps(record(3, "y"))
+
+
 def test_ingest_is_idempotent(spark, day_clean, tmp_path):
     coll = store.Collection(spark, str(tmp_path / "store"))
     first = ingest.ingest_folder(spark, str(day_clean), coll, embedder=EMB)
@@ -75,6 +135,42 @@ def test_ingest_is_idempotent(spark, day_clean, tmp_path):
     assert {r["fname"]: r["n_nodes"] for r in coll.read("files", schemas.LEDGER).collect()} == {"2025-01-02.jsonl": 4, "2025-01-03.jsonl": 1}
 
 
+def test_refused_texts_are_set_aside(spark, day_clean, tmp_path):
+    put(day_clean, "2025-01-04.jsonl", [record(20, "long line " * 50 + "\nmore"), record(21, "short\nline")])
+    coll = store.Collection(spark, str(tmp_path / "store"))
+    limited = models.LimitedEmbedder(EMB, 60)
+    for _ in range(2):
+        ingest.ingest_folder(spark, str(day_clean), coll, embedder=limited)
+        refused = coll.read("rejects", schemas.REJECT).collect()
+        assert len(refused) == 1 and refused[0]["fname"] == "2025-01-04.jsonl" and "cannot exceed 60" in refused[0]["error"]
+        ids = {r["id"] for r in coll.read("nodes", schemas.NODE).collect()}
+        assert ids == {r["id"] for r in coll.read("vectors", schemas.VECTOR).collect()} and refused[0]["id"] not in ids and len(ids) == 5
+        assert {r["fname"]: r["n_nodes"] for r in coll.read("files", schemas.LEDGER).collect()} == {"2025-01-02.jsonl": 4, "2025-01-04.jsonl": 1}
+
+
+def test_restart_between_vectors_and_ledger(spark, day_clean, tmp_path, monkeypatch):
+    coll = store.Collection(spark, str(tmp_path / "store"))
+    append = store.Collection.append
+
+    def run():
+        stream.start_ingest(stream.record_stream(spark, str(day_clean)), coll, str(tmp_path / "cp"), EMB).awaitTermination()
+
+    def breaks(self, table, rows):
+        if table == "files":
+            raise RuntimeError("lost")
+        append(self, table, rows)
+    monkeypatch.setattr(store.Collection, "append", breaks)
+    with pytest.raises(Exception, match="lost"):
+        run()
+    monkeypatch.setattr(store.Collection, "append", append)
+    assert coll.read("vectors", schemas.VECTOR).count() == 4 and not coll.exists("files")
+    run()
+    for name, kind in (("vectors", schemas.VECTOR), ("nodes", schemas.NODE)):
+        rows = coll.read(name, kind)
+        assert rows.count() == rows.select("id").distinct().count() == 4
+    assert [r["n_nodes"] for r in coll.read("files", schemas.LEDGER).collect()] == [4]
+
+
 def test_stream_ingest_takes_each_file_once(spark, day_clean, tmp_path):
     coll = store.Collection(spark, str(tmp_path / "store"))
     def run():
@@ -89,16 +185,40 @@ def test_stream_ingest_takes_each_file_once(spark, day_clean, tmp_path):
     assert coll.read("files", schemas.LEDGER).count() == 2
 
 
-def test_stream_of_concatenated_objects_and_dedup(spark, tmp_path):
+def test_stream_of_concatenated_objects(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
-    put(src, "a.jsonl", [json.dumps(record(1, "x")) + json.dumps(record(1, "x")) + json.dumps(record(2, "y"))])
-    df = stream.distinct_stream(stream.concatenated_stream(spark, str(src)))
-    q = df.writeStream.format("memory").queryName("dedup").trigger(availableNow=True).start()
-    q.awaitTermination()
+    coll = store.Collection(spark, str(tmp_path / "store"))
+    record_row = T.StructType([T.StructField("id", T.StringType()), T.StructField("content", T.StringType())])
+    take = lambda rows, _: coll.insert_new("records", rows.select("id", "content"), record_row)
+    for day, ids in (("a", (1, 1, 2)), ("b", (2, 3))):
+        put(src, f"{day}.jsonl", ["".join(json.dumps(record(i, f"x{i}")) for i in ids)])
+        for _ in range(2):  # the second run finds nothing new
+            stream.start_concatenated(spark, str(src), str(tmp_path / "cp"), take).awaitTermination()
+    assert sorted((r["id"], r["content"]) for r in coll.read("records", record_row).collect()) == [("m1", "x1"), ("m2", "x2"), ("m3", "x3")]
+
+
+def test_distinct_stream(spark, tmp_path):
+    put(tmp_path, "2025-01-01.jsonl", [record(1, "x"), record(1, "x"), record(2, "y")])
+    df = stream.distinct_stream(stream.record_stream(spark, str(tmp_path)))
+    df.writeStream.format("memory").queryName("dedup").trigger(availableNow=True).start().awaitTermination()
     assert {r["id"] for r in spark.table("dedup").collect()} == {"m1", "m2"} and spark.table("dedup").count() == 2
 
 
+def test_dedup_state_forgets(spark, tmp_path):
+    """Keys older than the horizon leave the state, so it does not grow for ever."""
+    src = tmp_path / "in"
+    src.mkdir()
+    times = lambda df: df.withColumn("at", F.timestamp_millis("timestamp"))
+    for day, start in enumerate((0, 10**8, 2 * 10**8, 3 * 10**8)):
+        put(src, f"2025-01-0{day + 1}.jsonl", [record(i + 100 * day, "x", ts=1_750_000_000_000 + start) for i in range(20)] + [record(100 * day, "again", ts=1_750_000_000_000 + start)])
+    query = stream.distinct_stream(times(stream.record_stream(spark, str(src), max_files=1)), time_col="at", horizon="1 hour").writeStream.format(
+        "memory").queryName("forgets").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.table("forgets").count() == 80
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] < 60
+
+
 def test_collection_guards(spark, tmp_path):
     coll = store.Collection(spark, str(tmp_path), "c")
     with pytest.raises(RuntimeError):
@@ -114,6 +234,79 @@ def test_collection_guards(spark, tmp_path):
     assert coll.read("nodes", schemas.NODE).first()["text"] == "new"
 
 
+def files_of(folder):
+    return {str(p.relative_to(folder)) for p in folder.rglob("*.parquet")}
+
+
+def test_upsert_rewrites_only_its_buckets(spark, tmp_path):
+    kept = T.StructType([T.StructField("id", T.StringType()), T.StructField("n", T.LongType())])
+    coll = store.Collection(spark, str(tmp_path), "c", buckets=16, keep=2)
+    frame = lambda rows: spark.createDataFrame(rows, kept)
+    coll.insert_new("t", frame([(f"k{i}", i) for i in range(500)]), kept)
+    coll.upsert("t", frame([("k1", -1)]), kept)  # deals the table out
+    before, old = files_of(tmp_path), coll.read("t", kept)
+    coll.upsert("t", frame([("k7", -7), ("k7", -7)]), kept)
+    assert len(files_of(tmp_path) - before) == 1
+    assert {r["id"]: r["n"] for r in coll.read("t", kept).collect()} == {f"k{i}": i if i not in (1, 7) else -i for i in range(500)}
+    # A reader of the manifest before still has its files.
+    assert {r["n"] for r in old.where("id = 'k7'").collect()} == {7}
+    for i in range(4):
+        coll.upsert("t", frame([("k7", i), (f"new{i}", i)]), kept)
+    coll.insert_new("t", frame([("k7", 99), ("late", 1)]), kept)
+    rows = {r["id"]: r["n"] for r in coll.read("t", kept).collect()}
+    assert rows["k7"] == 3 and rows["late"] == 1 and len(rows) == 505 == coll.read("t", kept).count()
+    # Only folders that the kept manifests name are left.
+    named = {d for k in coll._manifests("t") for dirs in coll.manifest("t", k)["parts"].values() for d in dirs}
+    assert len(coll._manifests("t")) == 2
+    assert {f.split("/")[2] + "/" + f.split("/")[3] for f in files_of(tmp_path) if "/g-" in f} == named
+    coll.replace("t", frame([("only", 1)]))
+    assert [(r["id"], r["n"]) for r in coll.read("t", kept).collect()] == [("only", 1)]
+    with pytest.raises(ValueError):
+        coll.upsert("t", frame([("x", 1)]), kept, "n")
+    coll.upsert("t", frame([]), kept)
+    assert coll.read("t", kept).count() == 1
+
+
+def test_depths_by_doubling(spark):
+    rng = random.Random(1)
+    n = 100_000
+    chain = spark.range(1, n).selectExpr("id - 1 as parent", "id as child", "0 as ord")
+    assert profile.depths(chain).agg(F.max("depth"), F.count("*"), F.sum(F.abs(F.col("depth") - F.col("node") - 1))).first()[:] == (n, n, 0)
+    parent = {i: rng.randrange(max(0, i - 3), i) for i in range(1, 300) if i % 50}
+    depth = {}
+    for i in range(300):
+        depth[i] = depth[parent[i]] + 1 if i in parent else 1
+    edges = spark.createDataFrame([(p, c, 0) for c, p in parent.items()], "parent bigint, child bigint, ord int")
+    got = {r["node"]: r["depth"] for r in profile.depths(edges).collect()}
+    assert got == {i: d for i, d in depth.items() if i in parent or i in set(parent.values())}
+    diamond = spark.createDataFrame([(0, 1, 0), (0, 2, 0), (1, 3, 0), (2, 4, 0), (4, 3, 0)], "parent bigint, child bigint, ord int")
+    assert {r["node"]: r["depth"] for r in profile.depths(diamond).collect()} == {0: 1, 1: 2, 2: 2, 4: 3, 3: 4}
+    for loop in ([(1, 2, 0), (2, 3, 0), (3, 1, 0)], [(0, 1, 0), (1, 2, 0), (2, 1, 0)], [(5, 5, 0)]):
+        with pytest.raises(ValueError):
+            profile.depths(spark.createDataFrame(loop, "parent bigint, child bigint, ord int"))
+
+
+def test_bm25(spark):
+    docs = ["a b c", "a a a d", "b e", "", None, "a b b c d e f g"]
+    corpus = spark.createDataFrame(list(enumerate(docs)), "id int, text string")
+    questions = spark.createDataFrame([(1, "A b zz"), (2, "e e"), (3, "zz")], "q_id int, question string")
+    hits = questions.select("q_id").crossJoin(corpus).withColumn("score", F.lit(0.5)).withColumn("rank", F.lit(1))
+    got = {(r["q_id"], r["id"]): r["bm25"] for r in bm25.scores(hits, questions, corpus).collect()}
+    words = [(t or "").split() for t in docs]
+    mean = sum(map(len, words)) / len(words)
+    for q, text in ((1, ["a", "b", "zz"]), (2, ["e"]), (3, ["zz"])):
+        for i, w in enumerate(words):
+            want = 0
+            for t in text:
+                df = sum(t in x for x in words)
+                tf = w.count(t)
+                if df:
+                    want += math.log(1 + (len(words) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
+            assert abs(got[q, i] - want) < 1e-9
+    best = bm25.rerank(hits, questions, corpus, 1).where("q_id = 1").first()
+    assert best["id"] == max(range(6), key=lambda i: got[1, i]) and best["rank"] == 1
+
+
 def test_provider_errors(spark):
     df = spark.createDataFrame([(1, ([1.0], None)), (2, (None, "input Cannot exceed 5"))], "id int, result struct<vec:array<float>,error:string>")
     good, bad = store.vectors_or_rejects(df)

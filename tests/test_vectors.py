@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import agglomerate, labels, mixture, ordered, ranking, similarity
+from corpusloom.operators import agglomerate, balls, distances, labels, leaves, mixture, ordered, ranking, similarity
 from tests import brute
 
 
@@ -35,33 +35,110 @@ def test_top_matches_both_paths(spark, points, metric):
     a = similarity.top_matches(v, v, 4, **kw).orderBy("q_id", "rank").collect()
     b = similarity.top_matches(v, v, 4, broadcast_bytes=500, **kw).orderBy("q_id", "rank").collect()
     assert a == b and len(a) == 4 * len(points)
-    s = -similarity._scores(points, points, metric) if metric in similarity.DISTANCES else similarity._scores(points, points, metric)
+    s = -distances.scores(points, points, metric) if metric in distances.DISTANCES else distances.scores(points, points, metric)
     s = np.round(s, 6) + 0.0
-    sign = 1 if metric in similarity.DISTANCES else -1
+    sign = 1 if metric in distances.DISTANCES else -1
     for q in range(len(points)):
         want = sorted(range(len(points)), key=lambda i: (sign * s[q, i], i))[:4]
         assert [r["id"] for r in a if r["q_id"] == q] == want
 
 
+def clustered(n, spread=0.05, centers=12, dim=16):
+    rng = np.random.default_rng(n)
+    c = rng.normal(size=(centers, dim))
+    return (c[rng.integers(0, centers, n)] + rng.normal(scale=spread, size=(n, dim))).astype(np.float32).astype(float)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "inner_product", "L1", "L2", "Linf"])
+def test_top_matches_skips_balls(spark, metric):
+    m = clustered(1500)
+    v = vectors(spark, m)
+    kw = {"query": ("id", "embedding"), "metric": metric, "exclude_self": True}
+    shipped = similarity.top_matches(v, v, 5, **kw).orderBy("q_id", "rank").collect()
+    cells = similarity.top_matches(v, v, 5, broadcast_bytes=20_000, **kw).orderBy("q_id", "rank").collect()
+    assert shipped == cells
+    s = np.round(distances.scores(m, m, metric), 6) + 0.0
+    np.fill_diagonal(s, -np.inf)
+    best = np.lexsort((np.broadcast_to(np.arange(len(m)), s.shape), -s), axis=-1)[:, :5]
+    assert [r["id"] for r in shipped] == best.ravel().tolist()
+    if metric not in ("inner_product", "Linf"):
+        for limit in (similarity.BROADCAST_BYTES, 20_000):
+            assert similarity.scored_pairs(v, v, 5, broadcast_bytes=limit, **kw) < 0.3 * len(m) ** 2
+
+
+def test_top_matches_with_text_ids_ties_and_few_items(spark):
+    rows = [(f"k{i:02}", [1.0, float(i // 10)]) for i in range(40)]
+    v = spark.createDataFrame(rows, "id string, embedding array<float>")
+    for limit in (similarity.BROADCAST_BYTES, 50):
+        got = similarity.top_matches(v, v, 3, query=("id", "embedding"), broadcast_bytes=limit).where("q_id = 'k25'").orderBy("rank").collect()
+        assert [r["id"] for r in got] == ["k20", "k21", "k22"]
+        assert similarity.top_matches(v, v.limit(2), 3, query=("id", "embedding"), broadcast_bytes=limit).count() == 80
+        assert similarity.top_matches(v, v.limit(0), 3, query=("id", "embedding"), broadcast_bytes=limit).count() == 0
+    assert similarity.top_matches(v.limit(0), v, 3, query=("id", "embedding")).count() == 0
+
+
 @pytest.mark.parametrize("keep", ["farther", "nearer"])
 def test_threshold_matches(spark, points, keep):
     v = vectors(spark, points)
-    d = np.round(similarity._distance(points, points, "cosine"), 6)
+    d = np.round(distances.distance(points, points, "cosine"), 6)
     hit = d > 0.3 if keep == "farther" else d <= 0.3
-    got = similarity.threshold_matches(v, v, 0.3, keep=keep, query=("id", "embedding"), query_block=40).collect()
-    assert {(r["q_id"], r["id"]) for r in got} == set(zip(*map(list, np.nonzero(hit)))) and len(got) == hit.sum()
+    for limit in (similarity.BROADCAST_BYTES, 100):
+        got = similarity.threshold_matches(v, v, 0.3, keep=keep, query=("id", "embedding"), query_block=40, broadcast_bytes=limit).collect()
+        assert {(r["q_id"], r["id"]) for r in got} == set(zip(*map(list, np.nonzero(hit)))) and len(got) == hit.sum()
+    assert similarity.threshold_matches(v.limit(0), v, 0.3, keep=keep, query=("id", "embedding")).count() == 0
 
 
 @pytest.mark.parametrize("metric,limit", [("cosine", 0.1), ("L2", 0.5), ("L1", 1.2), ("Linf", 0.2)])
 def test_pairs_within(spark, points, metric, limit):
     v = vectors(spark, points)
-    d = similarity._distance(points, points, metric)
+    d = distances.distance(points, points, metric)
     want = {(i, j) for i in range(len(points)) for j in range(i + 1, len(points)) if d[i, j] <= limit}
     for rows in (None, 9):
-        got = similarity.pairs_within(v, limit, metric=metric, block_rows=rows, max_pivots=5).collect()
+        got = similarity.pairs_within(v, limit, metric=metric, block_rows=rows).collect()
         assert len(got) == len(want) and {(r["a"], r["b"]) for r in got} == want
 
 
+@pytest.mark.parametrize("metric,limit", [("cosine", 0.02)])
+def test_pairs_within_by_several_levels(spark, metric, limit):
+    m = clustered(500)
+    d = distances.distance(m, m, metric)
+    np.fill_diagonal(d, np.inf)
+    want = {(i, j) for i, j in zip(*np.nonzero(d <= limit)) if i < j}
+    got = similarity.pairs_within(vectors(spark, m), limit, metric=metric, block_rows=20).collect()
+    assert len(got) == len(want) and {(r["a"], r["b"]) for r in got} == want
+    placed = balls.placements(vectors(spark, m), limit, metric=metric, block_rows=20)
+    assert placed.agg(F.max("level")).first()[0] >= 2
+    assert placed.where("inner").count() == placed.where("inner").select("id").distinct().count() == 500
+
+
+def test_copies_do_not_grow_with_the_rows(spark):
+    share = {}
+    for n in (1000, 4000):
+        placed = balls.placements(vectors(spark, clustered(n, centers=n // 50)), 0.01, block_rows=60)
+        share[n] = placed.where("not inner").count() / n
+    assert share[4000] <= 1.2 * share[1000] + 0.2 and share[4000] < 2
+
+
+def test_pairs_of_near_copies_end(spark):
+    m = 1 + np.random.default_rng(2).normal(scale=1e-4, size=(300, 6))
+    assert similarity.pairs_within(vectors(spark, m), 0.5, block_rows=20).count() == 300 * 299 // 2
+
+
+def test_pairs_added_up_by_group(spark):
+    m = clustered(300)
+    v = vectors(spark, m).withColumn("g", F.col("id") % 7)
+    d = distances.distance(m, m, "cosine")
+    want = {}
+    for i, j in zip(*np.nonzero(d <= 0.4)):
+        if i < j and i % 7 != j % 7:
+            k = (min(i % 7, j % 7), max(i % 7, j % 7))
+            n, lo, hi = want.get(k, (0, np.inf, 0))
+            want[k] = (n + 1, min(lo, d[i, j]), max(hi, d[i, j]))
+    got = {(r["a"], r["b"]): (r["n_edges"], r["nearest"], r["farthest"]) for r in similarity.pairs_within(v, 0.4, group="g", block_rows=25).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and np.allclose(got[k][1:], want[k][1:]) for k in want)
+
+
 @pytest.mark.parametrize("linkage", agglomerate.LINKAGES)
 def test_agglomeration_equals_brute_force(spark, points, linkage):
     v = vectors(spark, points)
@@ -78,8 +155,78 @@ def test_leaf_order_and_count(spark, points):
     assert sum(a != b for a, b in zip(seen, seen[1:])) + 1 == len(set(seen))
     n = len(groups(found.labels))
     assert len(groups(agglomerate.cut_to_count(found, n + 3))) == n + 3
+
+
+def random_tree(rng, n):
+    """Merges (left, right) that make one binary tree of n leaves."""
+    open_nodes, merges = list(range(n)), []
+    while len(open_nodes) > 1:
+        a, b = (open_nodes.pop(int(rng.integers(len(open_nodes)))) for _ in range(2))
+        merges.append((a, b))
+        open_nodes.append(n + len(merges) - 1)
+    return merges
+
+
+def all_orders(n, merges):
+    orders = {i: [[i]] for i in range(n)}
+    for i, (a, b) in enumerate(merges):
+        orders[n + i] = [x + y for x in orders[a] for y in orders[b]] + [y + x for x in orders[a] for y in orders[b]]
+    return orders[n + len(merges) - 1]
+
+
+def steps(d, order):
+    return sum(d[a, b] for a, b in zip(order, order[1:]))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_best_order_of_eight_leaves(seed):
+    rng = np.random.default_rng(seed)
+    d = distances.distance(*[rng.normal(size=(8, 3))] * 2, "L2")
+    merges = random_tree(rng, 8)
+    every = all_orders(8, merges)
+    got = leaves.best_order(d, merges)
+    assert got in every and np.isclose(steps(d, got), min(steps(d, o) for o in every))
+
+
+@pytest.mark.parametrize("shape, small", [("chain", 3), ("star", 1), ("random", 4)])
+def test_positions_of_any_tree(spark, shape, small):
+    rng = np.random.default_rng(small)
+    n = 13
+    m = rng.normal(size=(n, 4))
+    # Parents have smaller numbers; rounds grow upwards, so a point is absorbed after it has absorbed.
+    parent = {"chain": lambda i: i - 1, "star": lambda i: 0, "random": lambda i: int(rng.integers(i))}[shape]
+    merges = [(n - i, parent(i), i, 0.1) for i in range(1, n)]
+    frame = spark.createDataFrame(merges, "round int, lo bigint, hi bigint, distance double")
+    got = leaves.positions(vectors(spark, m), frame, "L2", small=small).orderBy("pos").collect()
+    assert [r["pos"] for r in got] == list(range(n))
+    order = [r["node"] for r in got]
+    # Every side of every merge stands together.
+    block = {i: {i} for i in range(n)}
+    for _, lo, hi, _ in sorted(merges):
+        block[lo] = block[lo] | block[hi]
+        at = [order.index(x) for x in block[lo]]
+        assert max(at) - min(at) + 1 == len(at)
+    if small > 1:
+        plain = [r["node"] for r in leaves.positions(vectors(spark, m), frame, "L2", small=1, turn_large=False).orderBy("pos").collect()]
+        d = distances.distance(m, m, "L2")
+        assert steps(d, order) < steps(d, plain)
+
+
+@pytest.mark.parametrize("linkage, k", [("complete", 2), ("single", 3), ("average", 4)])
+def test_any_number_of_clusters(spark, points, linkage, k):
+    some = points[::4]
+    found = agglomerate.cluster(vectors(spark, some), 0.3, linkage=linkage)
+    got = groups(agglomerate.cut_to_count(found, k))
+    assert len(got) == k
+    # The same clusters as a merge-by-merge run that stops at k.
+    assert got == brute.agglomerate(brute.cosine_matrix(some), 9.0, linkage, stop_at=k)
+
+
+def test_number_of_clusters_beyond_the_points(spark, points):
+    found = agglomerate.cluster(vectors(spark, points), 0.1)
+    assert len(groups(agglomerate.cut_to_count(found, 1000))) == 96
     with pytest.raises(ValueError):
-        agglomerate.cut_to_count(found, 1)
+        agglomerate.cut_to_count(found, 0)
 
 
 def test_no_pairs_and_bad_options(spark, points):
@@ -112,6 +259,16 @@ def test_concat_parts_are_whole(spark):
     assert "|".join(r["text"] for r in parts) == "|".join(f"t{i}" for i in range(25)) and len(parts) == 3
 
 
+def test_summaries_of_any_cluster_size(spark):
+    rows = [(1, i, f"t{i}") for i in range(70)] + [(2, i, f"u{i}") for i in range(3)] + [(3, 0, "v")]
+    df = spark.createDataFrame(rows, "cluster int, id int, text string")
+    seen = lambda text, most: F.concat(F.lit("<"), F.regexp_replace(text, "\n\n", " "), F.lit(">"))
+    got = {r["cluster"]: r for r in labels.polish(df, seen, rows_per_part=4).collect()}
+    assert got[3]["text"] == "<v>" and got[2]["text"] == "<u0 u1 u2>" and [got[c]["n_rows"] for c in (1, 2, 3)] == [70, 3, 1]
+    inner = [x for x in got[1]["text"].replace("<", " ").replace(">", " ").split()]
+    assert inner == [f"t{i}" for i in range(70)]
+
+
 def test_budgets(spark):
     df = spark.createDataFrame([(1, 1, 60), (1, 2, 50), (1, 3, 0), (2, 1, 100), (2, 2, 0), (3, 1, 200), (3, 2, 1)],
                                "q_id int, rank int, tokens int")
@@ -134,6 +291,26 @@ def test_mixture_finds_blobs_on_both_paths(spark):
         assert {frozenset(s) for s in sets.values()} == {frozenset(range(i, i + 60)) for i in (0, 60, 120)}
 
 
+@pytest.mark.parametrize("partitions", [4, 9, 200])
+def test_mixture_sums_on_any_partitioning(spark, partitions):
+    """Overlapping blobs: the same labels inside one task and from sums over many."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, 1.0, size=(80, 3)) for c in ((0, 0, 0), (3, 0, 0), (0, 3.5, 0))])
+    df = spark.createDataFrame([(i % 2, i, [float(a) for a in v]) for i, v in enumerate(x)], "problem bigint, node_id bigint, x array<double>")
+    one = sorted(tuple(r) for r in mixture.soft_labels(df, max_components=5, local_rows=1000).collect())
+    many = sorted(tuple(r) for r in mixture.soft_labels(df.repartition(partitions), max_components=5, local_rows=10).collect())
+    assert one == many and len({r[2] for r in one}) > 1
+
+
+def test_projection_of_large_problems(spark):
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(300, 6)) * np.array([5, 3, 1, 1, 1, 1])
+    df = spark.createDataFrame([(i % 3, i, [float(a) for a in v]) for i, v in enumerate(m)], "problem bigint, node_id bigint, embedding array<double>")
+    one = {r["node_id"]: r["x"] for r in mixture.reduce_per_problem(df, 2, 1000).collect()}
+    many = {r["node_id"]: r["x"] for r in mixture.reduce_per_problem(df.repartition(7), 2, 10).collect()}
+    assert one.keys() == many.keys() and all(np.allclose(one[i], many[i]) for i in one)
+
+
 def test_bounded_clusters(spark):
     rng = np.random.default_rng(3)
     m = np.concatenate([rng.normal(c, 0.2, size=(40, 6)) for c in (np.eye(6)[0] * 3, np.eye(6)[1] * 3)] + [np.ones((30, 6))])
