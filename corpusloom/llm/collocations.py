@@ -16,12 +16,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import cut, drop_cut, first_row, freed_shuffles
 from corpusloom.llm.runs import Slice, byte_class, slices
 from corpusloom.llm.tokens import buffers, mix, powers, span_hashes
+from corpusloom.operators.ordered import arrange, number_rows
 from corpusloom.session import shuffle_width
 
 LEAST_COUNT = 10
@@ -34,7 +35,7 @@ PIECE_ENDS = byte_class(*map(ord, ".,;:!?"), (0x0A, 0x0D))
 WORD = ~(PIECE_ENDS | byte_class(0x20, 0x09))
 SLOTS_PER_KEY = 16    # of the bit table, as long as it is smaller than
 BITS = 1 << 27        # slots: 16 MB
-HELD = 1 << 22        # distinct n-grams a scan task holds before it passes them on
+HELD = 1 << 21        # distinct n-grams a scan task holds before it passes them on
 PART_BYTES = 24 << 20  # text bytes per hash partition
 CAPACITY = 1 << 18    # counters a summary starts with
 
@@ -269,12 +270,10 @@ def _ranked(counted: DataFrame, least_count: int, per_language: int, covered: tu
     inner = longer.select("lang", _words("phrase", F.col("w.i"), F.col("w.m")).alias("phrase"), "a")
     over = inner.groupBy("lang", "phrase").agg(F.max("a").alias("_over"))
     left = scored.join(over, ["lang", "phrase"], "left").filter(F.col("_over").isNull() | (covered[1] * F.col("_over") < covered[0] * F.col("a")))
-    left = cut(left.select("lang", "phrase", "a", "c.l", "c.r", "c.score"))
-    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    # The best of each salt first, so no language is ranked whole in one task.
-    salt = F.pmod(F.xxhash64("phrase"), F.lit(shuffle_width(counted.sparkSession)))
-    best = left.withColumn("_salt", salt).withColumn("_r", F.row_number().over(Window.partitionBy("lang", "_salt").orderBy(*order))).filter(F.col("_r") <= per_language)
-    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= per_language)
+    left = left.select("lang", "phrase", "a", "c.l", "c.r", "c.score")
+    # Ranked over ranges of the order, so no language is sorted whole in one task.
+    placed = arrange(left, "lang", F.desc("score"), F.desc("a"), F.asc("phrase"))
+    best = number_rows(placed, ["lang"], "rank").filter(F.col("rank") <= per_language)
     totals = counted.filter("words = 0").select("lang", "n")
     return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
