@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import free_name
+
 PERIOD = 1000         # parts that are dealt out among the sources
 BLOCK_CHARS = 65_536  # length of a block
 SOURCES = 1000        # more sources than this are an error: their schedule is one row
@@ -86,13 +88,13 @@ def schedule(docs: DataFrame, parts: DataFrame | None = None, doc_id: str = "doc
 
 def in_schedule_order(docs: DataFrame) -> DataFrame:
     """The documents, all of them, stored in the order of their slots."""
-    places = schedule(docs).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(
-        F.min(F.struct("slot", "place")).alias("_at"))
-    same = docs["doc_id"].cast("long").eqNullSafe(places["_id"]) & (F.coalesce(docs["source"].cast("string"), F.lit("")) == places["_source"])
+    own, stream, at = (free_name(docs, c) for c in ("id_", "source_", "at_"))
+    places = schedule(docs).groupBy(F.col("doc_id").alias(own), F.col("source").alias(stream)).agg(F.min(F.struct("slot", "place")).alias(at))
+    same = docs["doc_id"].cast("long").eqNullSafe(places[own]) & (F.coalesce(docs["source"].cast("string"), F.lit("")) == places[stream])
     joined = docs.join(places, same)
-    order = [F.col("_at.slot"), F.col("_source"), F.col("_at.place")]
+    order = [F.col(at)["slot"], F.col(stream), F.col(at)["place"]]
     width = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return joined.repartitionByRange(width, *order).sortWithinPartitions(*order).drop("_id", "_source", "_at")
+    return joined.repartitionByRange(width, *order).sortWithinPartitions(*order).drop(own, stream, at)
 
 
 SQL = f"""

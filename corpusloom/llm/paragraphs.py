@@ -7,15 +7,17 @@ and a class is a component of these links.  *Passages* are word windows that
 stand in several documents, whatever lines they lie in.  Each window of 12
 words that has the least hash among 40 neighbouring windows is a seed, so any
 two copies of 51 words share one and no stretch of a copy is farther than 39
-words from the next.  All windows that near to a shared seed are then compared,
-so a passage reaches exactly from its first to its last repeated word.  The
-document with the smallest id keeps a class or window; in every other document
-it is a removal.
+words from the next.  The windows that near to a shared seed are then compared -
+from seed to seed as one where all copies agree, one by one elsewhere - so a
+passage reaches exactly from its first to its last repeated word.  The document
+with the smallest id keeps a class or window; in every other document it is a
+removal.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import tokens as tk
 from corpusloom.llm.buckets import bucket_links, members_of, plain_sets
-from corpusloom.llm.common import cut, drop_cut
+from corpusloom.llm.common import cut, drop_cut, free_name
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 4       # recall 0.995 at similarity 0.8
@@ -141,11 +143,25 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1).view(np.int64)))], names=[x.split()[0] for x in _UNITS.split(", ")])
 
 
-_WINDOWS = "doc_id long, pos int, start int, stop int, body long"
+# A segment is a run of windows near shared seeds that ends where the next seed begins.
+_SEGMENTS = "doc_id long, pos int, windows int, body long, head long, tail long"
+_WINDOWS = "body long, k int, h long, lo long, hi long, n long"
+_ROWS = "doc_id long, pos int, windows int, start int, length int"
 
 
-def _near_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All windows within ``NEAR - 1`` words of the given seeds."""
+def _starts(part: pa.RecordBatch, name: str, w: tk.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the entries of a list column, and the first words of their rows."""
+    row = np.repeat(np.arange(len(part)), pc.list_value_length(part.column(name)).to_numpy(zero_copy_only=False))
+    return row, w.bounds[row]
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All windows within ``NEAR - 1`` words of a document's shared seeds, in segments.
+
+    ``body`` stands for all words of a segment, the seed after it included;
+    ``head`` is the seed it begins with and ``tail`` the one that follows, where
+    there is one.
+    """
     for batch in batches:
         for a in range(0, len(batch), 200):
             part = batch.slice(a, 200)
@@ -153,38 +169,104 @@ def _near_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, first = tk.windows(w, WINDOW)
             if not len(h):
                 continue
-            seeds = part.column("seeds")
-            row = np.repeat(np.arange(len(part)), pc.list_value_length(seeds).to_numpy(zero_copy_only=False))
-            begin, end = w.bounds[row], w.bounds[row + 1]
-            at = begin + seeds.flatten().to_numpy()
+            row, begin = _starts(part, "seeds", w)
+            end = w.bounds[row + 1]
+            at = begin + part.column("seeds").flatten().to_numpy()
             step = np.bincount(np.clip(at - NEAR + 1, begin, end), minlength=len(w.hash) + 1) - np.bincount(np.clip(at + NEAR, begin, end), minlength=len(w.hash) + 1)
-            near = np.cumsum(step)[first] > 0
-            h, first = h[near], first[near]
+            seed = np.zeros(len(w.hash), bool)
+            seed[at] = True
+            near, seed = np.cumsum(step)[first] > 0, seed[first]
+            after = np.concatenate([[False], near[:-1] & (first[1:] == first[:-1] + 1)])  # follows a near window of its text
+            starts = np.flatnonzero(near & (~after | seed))
+            n = np.diff(np.append(np.cumsum(near)[starts] - 1, int(near.sum())))
+            then = np.minimum(starts + n, len(h) - 1)
+            followed = (starts + n < len(h)) & seed[then] & after[then]
+            body = tk.mix(_bodies(w, first[starts], n + WINDOW - 1 + followed) ^ tk.BYTE_CODES[followed + 2 * seed[starts]])
+            row = w.row[first[starts]]
+            long = lambda x, held: pa.array(x.view(np.int64), mask=~held)
+            yield pa.RecordBatch.from_arrays([
+                pc.take(part.column("doc_id"), pa.array(row)), pa.array((first[starts] - w.bounds[row]).astype(np.int32)), pa.array(n.astype(np.int32)),
+                pa.array(body.view(np.int64)), long(h[starts], seed[starts]), long(h[then], followed)], names=[x.split()[0] for x in _SEGMENTS.split(", ")])
+
+
+def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every window of the segments listed for each document."""
+    for batch in batches:
+        for a in range(0, len(batch), 200):
+            part = batch.slice(a, 200)
+            w = tk.words(part.column("text"))
+            h, first = tk.windows(w, WINDOW)
+            row, begin = _starts(part, "of", w)
+            of = part.column("of").flatten()
+            n = of.field("windows").to_numpy().astype(np.int64)
+            start = np.searchsorted(first, begin + of.field("pos").to_numpy())
+            k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            again = lambda name: pa.array(np.repeat(of.field(name).to_numpy(), n))
+            yield pa.RecordBatch.from_arrays([again("body"), pa.array(k.astype(np.int32)), pa.array(h[np.repeat(start, n) + k].view(np.int64)),
+                                              again("lo"), again("hi"), again("n")], names=[x.split()[0] for x in _WINDOWS.split(", ")])
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Code points of the runs of windows listed for each document."""
+    for batch in batches:
+        for a in range(0, len(batch), 200):
+            part = batch.slice(a, 200)
+            w = tk.words(part.column("text"))
+            row, begin = _starts(part, "of", w)
+            of = part.column("of").flatten()
+            pos, n = (of.field(c).to_numpy().astype(np.int64) for c in ("pos", "windows"))
             chars = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
-            row = w.row[first]
-            text_at = chars[w.offsets[row]]
+            start, stop = chars[w.start[begin + pos]], chars[w.end[begin + pos + n + WINDOW - 2]]
             ints = lambda x: pa.array(x.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([
-                pc.take(part.column("doc_id"), pa.array(row)), ints(first - w.bounds[row]), ints(chars[w.start[first]] - text_at),
-                ints(chars[w.end[first + WINDOW - 1]] - text_at), pa.array(h.view(np.int64))], names=[x.split()[0] for x in _WINDOWS.split(", ")])
-
-
-def _passages(rows: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Runs of windows that stand in two documents or more."""
-    ends = [F.min("doc_id").alias("keeper_id"), F.max("doc_id").alias("hi")]
-    shared = cut(seeds.groupBy("body").agg(*ends).filter("keeper_id < hi").select("body"))
-    wanted = seeds.join(shared, "body", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("seeds"))
-    windows = cut(rows.join(wanted, "doc_id").select("doc_id", "text", "seeds").mapInArrow(_near_seeds, _WINDOWS))
-    drop_cut(shared)
-    named = cut(windows.groupBy("body").agg(*ends, F.count(F.lit(1)).alias("class_size")).filter("keeper_id < hi").drop("hi"))
-    by = Window.partitionBy("doc_id").orderBy("pos")
+            yield pa.RecordBatch.from_arrays([pc.take(part.column("doc_id"), pa.array(row)), ints(pos), ints(n), ints(start - chars[w.offsets[row]]), ints(stop - start)],
+                                             names=[x.split()[0] for x in _ROWS.split(", ")])
+
+
+def _listed(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("of"))
+
+
+def _joined(rows: DataFrame, key: str, at: str) -> DataFrame:
+    """``run``: neighbours ``windows`` apart with one keeper and number of copies get the same number."""
+    by = Window.partitionBy(key).orderBy(at)
     lag = lambda c: F.lag(c).over(by)
-    joins = (F.col("pos") - lag("pos") <= 1) & (F.col("keeper_id") == lag("keeper_id")) & (F.col("class_size") == lag("class_size"))
-    found = windows.join(named, "body").withColumn("fresh", (~F.coalesce(joins, F.lit(False))).cast("int"))
-    runs = found.withColumn("run", F.sum("fresh").over(by)).groupBy("doc_id", "run", "keeper_id", "class_size").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("pos") - F.min("pos") + WINDOW).alias("n_words"), F.min("body").alias("class_id"))
-    return runs.select("doc_id", F.lit("passage").alias("kind"), "start", (F.col("stop") - F.col("start")).alias("length"), "n_words",
-                       "class_id", "class_size", "keeper_id", (F.col("doc_id") != F.col("keeper_id")).alias("removed"))
+    follows = (F.col(at) <= lag(at) + lag("windows")) & (F.col("keeper_id") == lag("keeper_id")) & (F.col("class_size") == lag("class_size"))
+    fresh = rows.withColumn("fresh", (~F.coalesce(follows, F.lit(False))).cast("int"))
+    runs = fresh.withColumn("run", F.sum("fresh").over(by)).groupBy(key, "run", "keeper_id", "class_size")
+    return runs.agg(F.min(at).alias(at), (F.max(F.col(at) + F.col("windows")) - F.min(at)).alias("windows"), F.min("class_id").alias("class_id")).drop("run")
+
+
+def _passages(texts: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Runs of windows that stand in two documents or more; ``seeds`` are the shared ones.
+
+    Copies mostly agree in whole segments.  A segment whose end seeds never
+    occur without it is compared as one; of the others each different one is
+    compared window by window once, for all documents that have it.
+    """
+    segments = cut(texts.join(_listed(seeds, "pos").select("doc_id", F.transform("of", lambda x: x["pos"]).alias("seeds")), "doc_id").mapInArrow(_segments, _SEGMENTS))
+    classes = cut(segments.groupBy("body").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"), F.first("head").alias("head"),
+                                               F.first("tail").alias("tail"), F.min(F.struct("doc_id", "pos", "windows")).alias("at")))
+    heads = cut(classes.filter("head is not null").groupBy("head").agg(F.sum("n").alias("all")))
+    as_tail = heads.select(F.col("head").alias("tail"), F.col("all").alias("all_tail"))
+    closed = (F.col("n") == F.coalesce("all", F.lit(0))) & (F.col("n") == F.coalesce("all_tail", F.lit(0)))
+    classes = cut(classes.join(heads, "head", "left").join(as_tail, "tail", "left").select("body", "lo", "hi", "n", "at", closed.alias("closed")))
+    single = classes.filter("not closed").select("at.doc_id", "at.pos", "at.windows", "body", "lo", "hi", "n")
+    windows = cut(texts.join(_listed(single, "pos", "windows", "body", "lo", "hi", "n"), "doc_id").mapInArrow(_single_windows, _WINDOWS))
+    named = cut(windows.groupBy("h").agg(F.min("lo").alias("keeper_id"), F.max("hi").alias("last"), F.sum("n").alias("class_size")).filter("keeper_id < last").drop("last"))
+    shared = windows.select("body", "k", "h").join(named, "h").select("body", "k", F.lit(1).alias("windows"), "keeper_id", "class_size", F.col("h").alias("class_id"))
+    inside = cut(_joined(shared, "body", "k"))
+    whole = classes.filter("closed and lo < hi").select("body", F.lit(0).alias("k"), F.col("at.windows").alias("windows"), F.col("lo").alias("keeper_id"),
+                                                        F.col("n").alias("class_size"), F.col("body").alias("class_id"))
+    runs = inside.select(*whole.columns).unionByName(whole)
+    found = segments.select("doc_id", "pos", "body").join(runs, "body").select(
+        "doc_id", (F.col("pos") + F.col("k")).alias("pos"), "windows", "keeper_id", "class_size", "class_id")
+    found = cut(_joined(found, "doc_id", "pos"))
+    for done in (segments, classes, heads, windows, named, inside):
+        drop_cut(done)
+    places = texts.join(_listed(found, "pos", "windows"), "doc_id").mapInArrow(_placed, _ROWS)
+    return found.join(places, ["doc_id", "pos", "windows"]).select(
+        "doc_id", F.lit("passage").alias("kind"), "start", "length", (F.col("windows") + WINDOW - 1).alias("n_words"),
+        "class_id", "class_size", "keeper_id", (F.col("doc_id") != F.col("keeper_id")).alias("removed"))
 
 
 def repeated_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -197,18 +279,24 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     row ends where the keeper or the number of copies changes, so rows of one
     passage overlap by 11 words.  Repeats inside one document alone, lines and
     blocks of fewer than 12 words, texts that are null or without words and
-    rows with a null id yield none.  Repeated rows with one id are one
-    document; other columns are ignored.
+    rows with a null id yield none.  Rows with one id are one document (of
+    several texts the greatest counts); other columns are ignored.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null and text is not null")
+    rows = _one_text(rows)
     units = cut(rows.mapInArrow(_units, _UNITS))
     lines = units.filter("kind <> 1")
     members = members_of(lines.select(F.col("body").alias("id"), F.explode("bands").alias("band")).distinct())
     wanted = members.select(F.col("id").alias("body")).distinct()
-    shown = lines.join(wanted, "body", "left_semi").groupBy("body").agg(F.min(F.struct("doc_id", "start", "length")).alias("at"))
-    shown = shown.select(F.col("body").alias("id"), "at.*")
+    shown = cut(lines.join(wanted, "body", "left_semi").groupBy("body").agg(F.min(F.struct("doc_id", "start", "length")).alias("at")).select(F.col("body").alias("id"), "at.*"))
+    seeds = units.filter("kind = 1").select("doc_id", "pos", "body")
+    common = seeds.groupBy("body").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("body")
+    seeds = cut(seeds.join(cut(common), "body", "left_semi").select("doc_id", "pos").distinct())
+    # Only documents with a shared seed or a paragraph to compare are read again.
+    needed = cut(seeds.select("doc_id").union(shown.select("doc_id")).distinct())
+    texts = cut(rows.join(needed, "doc_id", "left_semi"))
     of_line = F.expr("substring(text, start + 1, length)").alias("text")
-    sentences = cut(shown.join(rows.groupBy("doc_id").agg(F.max("text").alias("text")), "doc_id").select("id", of_line))
+    sentences = cut(shown.join(texts, "doc_id").select("id", of_line))
     roots = bucket_links(members, sentences, plain_sets(SHINGLE), SIMILARITY)
     bodies = lines.groupBy("body").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"))
     named = bodies.join(roots.withColumnRenamed("node", "body"), "body", "left").filter("lo < hi or root is not null")
@@ -218,36 +306,58 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     found = cut(lines.drop("bands").join(named, "body").select(
         "doc_id", F.when(F.col("kind") == 0, "line").otherwise("block").alias("kind"), "start", "length", "n_words",
         "class_id", "class_size", "keeper_id", (F.col("doc_id") != F.col("keeper_id")).alias("removed")))
-    seeds = cut(units.filter("kind = 1").select("doc_id", "pos", "body"))
-    for done in (members, sentences, units):
+    for done in (members, sentences, shown, units):
         drop_cut(done)
-    return found.unionByName(_passages(rows, seeds))
+    return found.unionByName(_passages(texts, seeds))
+
+
+def _shared_ids(rows: DataFrame) -> DataFrame | None:
+    """``doc_id, text`` of the ids that several rows have: the greatest of their texts.  None when there is none."""
+    again = cut(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"))
+    if again.isEmpty():
+        return None
+    return cut(rows.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")))
+
+
+def _one_text(rows: DataFrame) -> DataFrame:
+    """Rows that share an id are one document."""
+    one = _shared_ids(rows)
+    return rows if one is None else rows.join(one, "doc_id", "left_anti").unionByName(one)
 
 
-def _erase(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _erase(batches: Iterator[pa.RecordBatch], spans: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist()):
-            if spans and text is not None:
+        for text, removed in zip(batch.column("text").to_pylist(), batch.column(spans).to_pylist()):
+            if removed and text is not None:
                 pieces, at = [], 0
-                for s in sorted(spans, key=lambda s: s["start"]):
+                for s in sorted(removed, key=lambda s: s["start"]):
                     if s["start"] > at:
                         pieces.append(text[at:s["start"]])
                     at = max(at, s["start"] + s["length"])
                 text = "".join([*pieces, text[at:]])
             out.append(text)
         i = batch.schema.get_field_index("text")
-        yield batch.set_column(i, batch.schema.field(i), pa.array(out, batch.schema.field(i).type)).drop_columns(["_spans"])
+        yield batch.set_column(i, batch.schema.field(i), pa.array(out, batch.schema.field(i).type)).drop_columns([spans])
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents without their removals (``n_chars`` counted anew); a document that loses all its words goes.
 
-    Documents without removals, null and empty texts among them, stay as they are.
+    Documents without removals, null and empty texts among them, stay as they
+    are, and so do rows whose text is not the one that stands for their id.
     """
-    spans = repeated_paragraphs(docs).filter("removed").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "length")).alias("_spans"))
-    joined = cut(docs.join(spans, docs["doc_id"] == spans["_id"], "left").drop("_id"))
-    erased = joined.filter("_spans is not null").mapInArrow(_erase, docs.schema)
+    own, spans, main = (free_name(docs, c) for c in ("id_", "spans_", "main_"))
+    found = repeated_paragraphs(docs).filter("removed").groupBy(F.col("doc_id").alias(own)).agg(F.collect_list(F.struct("start", "length")).alias(spans))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
+    several = _shared_ids(rows)
+    if several is not None:
+        found = found.join(several.select(F.col("doc_id").alias(own), F.xxhash64("text").alias(main)), own, "left")
+    else:
+        found = found.withColumn(main, F.lit(None).cast("long"))
+    of_main = F.col(main).isNull() | (F.col(main) == F.xxhash64(docs["text"].cast("string")))
+    joined = cut(docs.join(found, (docs["doc_id"] == F.col(own)) & of_main, "left").drop(own, main))
+    erased = joined.filter(F.col(spans).isNotNull()).mapInArrow(partial(_erase, spans=spans), docs.schema)
     if "n_chars" in docs.columns:
         erased = erased.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return joined.filter("_spans is null").drop("_spans").union(erased.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")))
+    return joined.filter(F.col(spans).isNull()).drop(spans).union(erased.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")))
