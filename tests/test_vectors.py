@@ -1,6 +1,7 @@
 """Similarity, ordering and clustering against brute force."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +67,29 @@ def test_top_matches_skips_balls(spark, metric):
             assert similarity.scored_pairs(v, v, 5, broadcast_bytes=limit, **kw) < 0.3 * len(m) ** 2
 
 
+def test_questions_visit_a_district_once(spark):
+    """Vectors without clusters ask for all cells, but a question is sent to a district at most once, in frames of bounded size."""
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(6000, 24))
+    pivots = m[:900]
+    n = np.bincount(distances.gap(m, pivots, "cosine").argmin(axis=1), minlength=900)
+    cells = similarity._Cells(pivots, np.zeros(900), np.full(900, np.pi), n, similarity._districts(pivots, n, 1500, "cosine"))
+    n_districts = len(set(cells.district.tolist()))
+    assert 4 <= n_districts <= 8 and np.bincount(cells.district, n).max() <= 1500 + n.max()
+    batch = pd.DataFrame({"q_id": np.arange(6000), "vec": list(m), "least": 0.0})
+    first, second = (list(similarity._visits([batch], cells, "cosine", 5, second=x)) for x in (False, True))
+    assert max(len(f) for f in second) <= n_districts * similarity.CELL_NUMBERS // 900
+    both = pd.concat(first + second)
+    assert len(both) == 6000 * n_districts == len(both[["q_id", "district"]].drop_duplicates())
+    v = vectors(spark, m[:3000])
+    want = np.argsort(-np.round(distances.scores(m[:40], m[:3000], "cosine"), 6), axis=1, kind="stable")[:, :3]
+    for arrow in ("true", "false"):  # keys of both sides have one type, whatever pandas frames become
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", arrow)
+        got = similarity.top_matches(v, v, 3, query=("id", "embedding"), broadcast_bytes=50_000).where("q_id < 40").orderBy("q_id", "rank").collect()
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+        assert [r["id"] for r in got] == want.ravel().tolist()
+
+
 def test_top_matches_with_text_ids_ties_and_few_items(spark):
     rows = [(f"k{i:02}", [1.0, float(i // 10)]) for i in range(40)]
     v = spark.createDataFrame(rows, "id string, embedding array<float>")
