@@ -12,7 +12,8 @@ numbers per source alone; a source that has ended leaves its slots empty.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import free_name
@@ -96,6 +97,17 @@ def in_schedule_order(docs: DataFrame) -> DataFrame:
     width = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return joined.repartitionByRange(width, *order).sortWithinPartitions(*order).drop(own, stream, at)
 
+def stored_place(docs: DataFrame) -> Column:
+    """A string that orders documents read from files as they were written: part, file, row in the file."""
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:  # not read from files: the order of the rows
+        return F.lpad(F.monotonically_increasing_id().cast("string"), 19, "0")
+    name, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+    part = F.regexp_extract(name, r"^part-(\d+)", 1)
+    return F.concat(F.lpad(part, 10, "0"), name, F.lpad(row.cast("string"), 19, "0"))
+
+
 
 SQL = f"""
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(md5(doc_id::VARCHAR), '') AS hh,

@@ -19,10 +19,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import cut, freed_shuffles
+from corpusloom.operators.ordered import arrange, number_rows
 from corpusloom.session import shuffle_width
 
 CAPACITY, GROUPS, SMALL_SHARE = 2048, 512, 4
@@ -85,11 +86,13 @@ def _encoder(path: str):
 
 
 def _pieces(path: str, keep_ids: bool):
+    """Pieces of the texts; a third column, if there is one, stands on all of them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(path)
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            of = []
+            for i, (doc_id, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text"))):
                 raw = encode(text.as_py()) + b"\0\0\0\0"
                 n = len(raw) // 4
                 at, piece = 0, 0
@@ -98,10 +101,12 @@ def _pieces(path: str, keep_ids: bool):
                     size = n % CAPACITY if at == 0 and n % CAPACITY else CAPACITY
                     part = raw[4 * at:4 * (at + size)]
                     out.append((doc_id, piece, at, size, zlib.crc32(part), part if keep_ids else None))
+                    of.append(i)
                     at, piece = at + size, piece + 1
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)],
-                                             ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+            more = batch.schema.names[2:]
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)), *(batch.column(c).take(pa.array(of, pa.int64())) for c in more)],
+                                             ["doc_id", "piece", "start", "length", "ids_crc32", "ids", *more])
     return run
 
 
@@ -259,16 +264,32 @@ def _numbers(df: DataFrame, column: str) -> dict[int, int]:
         return {r[0]: r[1] for r in df.groupBy(column).count().collect()}  # at most one row a length
 
 
-def packed_sequences(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", keep_ids: bool = False) -> DataFrame:
+def _in_order(packed: DataFrame) -> DataFrame:
+    """The same sequences, numbered from 0 in the order of the first place in each."""
+    packed = cut(packed)
+    firsts = packed.groupBy("sequence_id").agg(F.min("place").alias("_first"))
+    with freed_shuffles(packed.sparkSession):
+        placed = arrange(firsts, "_first", "sequence_id")
+    numbers = number_rows(placed, name="_no").select(F.col("sequence_id").alias("_old"), (F.col("_no") - 1).alias("_new"))
+    joined = packed.join(numbers, F.col("sequence_id") == F.col("_old")).withColumn("sequence_id", F.col("_new"))
+    return joined.drop("place", "_old", "_new")
+
+
+def packed_sequences(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", keep_ids: bool = False,
+                     place: Column | None = None) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` (and ``ids``, bytes, if wanted) of every piece.
 
     A document is its ids and one id 0; a null text is empty and still has
     that id.  Only documents of more than 2048 ids are cut, the shorter piece
     first.  Null ids are kept, repeated rows are packed each, equal lengths
-    are placed in the order of the input, other columns are ignored.
+    are placed in the order of the input, other columns are ignored.  With
+    ``place``, a string that orders the documents, sequences are numbered from 0
+    by the first document that each of them holds.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    pieces = rows.mapInArrow(_pieces(tokenizer, keep_ids), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    ordered = [] if place is None else [place.cast("string").alias("place")]
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *ordered)
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary" + ", place string" * len(ordered)
+    pieces = rows.mapInArrow(_pieces(tokenizer, keep_ids), schema)
     pieces = cut((pieces if keep_ids else pieces.drop("ids")).withColumn("_row", F.monotonically_increasing_id()))
     numbers = _numbers(pieces, "length")
     places = Places(numbers)
@@ -288,4 +309,5 @@ def packed_sequences(docs: DataFrame, tokenizer: str, text: str = "text", doc_id
     together = large.union(fitted)
     order = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "_row").rowsBetween(Window.unboundedPreceding, -1)
     placed = together.select(F.col("_row").alias("_piece"), "sequence_id", F.coalesce(F.sum("length").over(order), F.lit(0)).alias("offset"))
-    return pieces.join(placed, F.col("_row") == F.col("_piece")).drop("_row", "_piece")
+    out = pieces.join(placed, F.col("_row") == F.col("_piece")).drop("_row", "_piece")
+    return out if place is None else _in_order(out)

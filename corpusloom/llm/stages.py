@@ -50,6 +50,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences numbered in the order in which the stage before stored the documents, so readers meet its mixture."""
     import public_tokenizers
 
-    return packing.packed_sequences(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.packed_sequences(docs, public_tokenizers.path("byte_bpe_50k.json"), place=mixing.stored_place(docs))

@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from corpusloom.llm import mixing, stages
 from tests.llm.test_text_operators import docs_of, near_copy, prose
 
 
@@ -36,3 +39,25 @@ def test_pipeline(spark, tmp_path):
         ends.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
     for parts in ends.values():
         assert all(a + n == b for (a, n), (b, _) in zip(sorted(parts), sorted(parts)[1:])) and max(a + n for a, n in parts) <= 2048
+
+
+def test_sequences_follow_the_mixed_order(spark, tmp_path):
+    """The order in which mixing stores the documents decides the numbers of the sequences."""
+    rng = random.Random(3)
+    words = [f"{a}{b}" for a in ("ka", "lo", "stru", "mi") for b in range(90)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(500)), "en", f"s{i % 5 // 2}") for i in range(40)]  # no two fit a sequence
+    docs = docs_of(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    mixed = stages.mixed(spark, docs, "")
+    mixed.write.parquet(str(tmp_path / "mixed"))
+    for name, order in (("mixed", None), ("up", F.asc("doc_id")), ("down", F.desc("doc_id"))):
+        if order is not None:
+            docs.repartitionByRange(3, order).sortWithinPartitions(order).write.parquet(str(tmp_path / name))
+    slots = {r["doc_id"]: (r["slot"], r["source"], r["place"]) for r in mixing.schedule(docs).collect()}
+    want = {"mixed": sorted(slots, key=slots.get), "up": list(range(40)), "down": list(range(39, -1, -1))}
+    for name, ids in want.items():
+        got = stages.packed(spark, spark.read.parquet(str(tmp_path / name)), "").collect()
+        firsts = {}
+        for r in got:
+            firsts[r["sequence_id"]] = min(firsts.get(r["sequence_id"], 99), ids.index(r["doc_id"]))
+        assert sorted(firsts) == list(range(len(firsts))) and len(firsts) >= 20
+        assert [firsts[i] for i in sorted(firsts)] == sorted(firsts.values())
