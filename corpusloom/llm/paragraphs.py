@@ -146,7 +146,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # A segment is a run of windows near shared seeds that ends where the next seed begins.
 _SEGMENTS = "doc_id long, pos int, windows int, body long, head long, tail long"
 _WINDOWS = "body long, k int, h long, lo long, hi long, n long"
-_ROWS = "doc_id long, pos int, windows int, start int, length int"
+_ROWS = "doc_id long, start int, length int, n_words int, class_id long, class_size long, keeper_id long"
 
 
 def _starts(part: pa.RecordBatch, name: str, w: tk.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -218,8 +218,8 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chars = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
             start, stop = chars[w.start[begin + pos]], chars[w.end[begin + pos + n + WINDOW - 2]]
             ints = lambda x: pa.array(x.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pc.take(part.column("doc_id"), pa.array(row)), ints(pos), ints(n), ints(start - chars[w.offsets[row]]), ints(stop - start)],
-                                             names=[x.split()[0] for x in _ROWS.split(", ")])
+            yield pa.RecordBatch.from_arrays([pc.take(part.column("doc_id"), pa.array(row)), ints(start - chars[w.offsets[row]]), ints(stop - start), ints(n + WINDOW - 1),
+                                              *(of.field(c) for c in ("class_id", "class_size", "keeper_id"))], names=[x.split()[0] for x in _ROWS.split(", ")])
 
 
 def _listed(rows: DataFrame, *columns: str) -> DataFrame:
@@ -263,10 +263,10 @@ def _passages(texts: DataFrame, seeds: DataFrame) -> DataFrame:
     found = cut(_joined(found, "doc_id", "pos"))
     for done in (segments, classes, heads, windows, named, inside):
         drop_cut(done)
-    places = texts.join(_listed(found, "pos", "windows"), "doc_id").mapInArrow(_placed, _ROWS)
-    return found.join(places, ["doc_id", "pos", "windows"]).select(
-        "doc_id", F.lit("passage").alias("kind"), "start", "length", (F.col("windows") + WINDOW - 1).alias("n_words"),
-        "class_id", "class_size", "keeper_id", (F.col("doc_id") != F.col("keeper_id")).alias("removed"))
+    # Each run carries its class through the text it lies in, so runs are not matched with their places afterwards.
+    places = texts.join(_listed(found, "pos", "windows", "class_id", "class_size", "keeper_id"), "doc_id").mapInArrow(_placed, _ROWS)
+    return places.select("doc_id", F.lit("passage").alias("kind"), "start", "length", "n_words",
+                         "class_id", "class_size", "keeper_id", (F.col("doc_id") != F.col("keeper_id")).alias("removed"))
 
 
 def repeated_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

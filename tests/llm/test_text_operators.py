@@ -358,3 +358,14 @@ def test_every_language_is_learned(spark):
     assert sum(got[i] == lang for i, _, lang, _ in rows) >= 0.99 * len(rows)
     kept = {r["doc_id"]: r["lang"] for r in stages.identified(docs_of(spark, rows)).collect()}
     assert {kept.get(i) for i, _, lang, _ in rows if lang == "l79"} == {"l79"}
+
+
+def test_passages_are_not_matched_with_their_places(spark):
+    """Passages carry their class through the text: no join whose rows are the passages of all documents."""
+    passage = " ".join(f"w{i}" for i in range(70))
+    docs = docs_of(spark, [(i, f"{passage} own{i} tail{i}", "en", "s") for i in range(6)])
+    found = paragraphs.repeated_paragraphs(docs)
+    assert " windows" not in "".join(x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines(True) if "Join" in x)
+    assert not [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x and "pos#" in x]
+    got = {(r["doc_id"], r["start"], r["length"], r["n_words"], r["class_size"], r["keeper_id"]) for r in found.where("kind = 'passage'").collect()}
+    assert got == {(i, 0, len(passage), 70, 6, 0) for i in range(6)}
