@@ -35,7 +35,7 @@ PIECE_ENDS = byte_class(*map(ord, ".,;:!?"), (0x0A, 0x0D))
 WORD = ~(PIECE_ENDS | byte_class(0x20, 0x09))
 SLOTS_PER_KEY = 16    # of the bit table, as long as it is smaller than
 BITS = 1 << 27        # slots: 16 MB
-HELD = 1 << 21        # distinct n-grams a scan task holds before it passes them on
+HELD = 1 << 19        # distinct n-grams a scan task holds before it passes them on
 PART_BYTES = 24 << 20  # text bytes per hash partition
 CAPACITY = 1 << 18    # counters a summary starts with
 

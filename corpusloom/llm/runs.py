@@ -16,7 +16,7 @@ import pyarrow as pa
 
 from corpusloom.llm.tokens import LOWER, buffers
 
-SLICE = 4 << 20
+SLICE = 1 << 20  # bytes; the arrays of a slice take about 50 times as much
 
 
 def byte_class(*ranges: tuple[int, int] | int) -> np.ndarray:

@@ -203,3 +203,11 @@ def test_summary_keeps_every_frequent_key(capacity):
     else:
         with pytest.raises(ValueError):
             halves[0].merge(halves[1])
+
+
+def test_slices_of_a_long_text_are_small():
+    """The arrays of a slice take many times its bytes, and several workers share an executor."""
+    text = "abcdefg " * 700_000
+    parts = list(runs.slices(pa.array([text]), collocations.WORD, collocations.PIECE_ENDS, 2))
+    assert max(len(p.data) for p in parts) < 1.5 * (1 << 20) and collocations.HELD <= 1 << 19
+    assert sum(len(p.start) - p.carried for p in parts) == 700_000
