@@ -37,11 +37,12 @@ def test_entry_and_registry(spark):
 
 def test_polished_documents_hold_all_documents(spark, tmp_path):
     """Every document's cleaned text is in the parts of its source, in order; conversations do not stand in for documents."""
-    rows = [(i, f"  text {i}...  of   it ", "ab"[i % 2]) for i in range(2100)]
+    rows = [(i, f"  text {i}...  of   it ", "ab"[i % 2]) for i in range(2100)] + [(3000, "without", None), (3001, "source", None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("lang", F.lit("en"))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, 0, "other")], "conv_id bigint, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = catalog.QUERIES["polished_documents"].run(spark, str(tmp_path)).collect()
+    assert [(r["part"], r["text"], r["n_rows"]) for r in got if r["fname"] is None] == [(0, "without\n\nsource", 2)]
     for source in "ab":
         parts = sorted((r["part"], r["text"], r["n_rows"]) for r in got if r["fname"] == source)
         assert [n for _, _, n in parts] == [1000, 50]
