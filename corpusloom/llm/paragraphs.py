@@ -226,22 +226,28 @@ def _listed(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("of"))
 
 
-def _joined(rows: DataFrame, key: str, at: str) -> DataFrame:
-    """``run``: neighbours ``windows`` apart with one keeper and number of copies get the same number."""
+def _joined(rows: DataFrame, key: str, at: str, same: tuple[str, ...] = ("keeper_id", "class_size")) -> DataFrame:
+    """Neighbours ``windows`` apart that agree in ``same`` as one row, with the least of their other values."""
     by = Window.partitionBy(key).orderBy(at)
     lag = lambda c: F.lag(c).over(by)
-    follows = (F.col(at) <= lag(at) + lag("windows")) & (F.col("keeper_id") == lag("keeper_id")) & (F.col("class_size") == lag("class_size"))
+    follows = F.col(at) <= lag(at) + lag("windows")
+    for c in same:
+        follows &= F.col(c) == lag(c)
     fresh = rows.withColumn("fresh", (~F.coalesce(follows, F.lit(False))).cast("int"))
-    runs = fresh.withColumn("run", F.sum("fresh").over(by)).groupBy(key, "run", "keeper_id", "class_size")
-    return runs.agg(F.min(at).alias(at), (F.max(F.col(at) + F.col("windows")) - F.min(at)).alias("windows"), F.min("class_id").alias("class_id")).drop("run")
+    runs = fresh.withColumn("run", F.sum("fresh").over(by)).groupBy(key, "run", *same)
+    others = [F.min(c).alias(c) for c in ("class_id", "class_size", "keeper_id") if c not in same]
+    return runs.agg(F.min(at).alias(at), (F.max(F.col(at) + F.col("windows")) - F.min(at)).alias("windows"), *others).drop("run")
 
 
-def _passages(texts: DataFrame, seeds: DataFrame) -> DataFrame:
+def _passages(texts: DataFrame, seeds: DataFrame, removals: bool = False) -> DataFrame:
     """Runs of windows that stand in two documents or more; ``seeds`` are the shared ones.
 
     Copies mostly agree in whole segments.  A segment whose end seeds never
     occur without it is compared as one; of the others each different one is
     compared window by window once, for all documents that have it.
+    ``removals``: only runs that are to go, whatever their keepers and numbers
+    of copies.  In near copies these change at every edit of any of them, so
+    such runs are as many as copies times edits; removals are not cut there.
     """
     segments = cut(texts.join(_listed(seeds, "pos").select("doc_id", F.transform("of", lambda x: x["pos"]).alias("seeds")), "doc_id").mapInArrow(_segments, _SEGMENTS))
     classes = cut(segments.groupBy("body").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"), F.first("head").alias("head"),
@@ -254,13 +260,13 @@ def _passages(texts: DataFrame, seeds: DataFrame) -> DataFrame:
     windows = cut(texts.join(_listed(single, "pos", "windows", "body", "lo", "hi", "n"), "doc_id").mapInArrow(_single_windows, _WINDOWS))
     named = cut(windows.groupBy("h").agg(F.min("lo").alias("keeper_id"), F.max("hi").alias("last"), F.sum("n").alias("class_size")).filter("keeper_id < last").drop("last"))
     shared = windows.select("body", "k", "h").join(named, "h").select("body", "k", F.lit(1).alias("windows"), "keeper_id", "class_size", F.col("h").alias("class_id"))
-    inside = cut(_joined(shared, "body", "k"))
+    inside = cut(_joined(shared, "body", "k", ("keeper_id",) if removals else ("keeper_id", "class_size")))
     whole = classes.filter("closed and lo < hi").select("body", F.lit(0).alias("k"), F.col("at.windows").alias("windows"), F.col("lo").alias("keeper_id"),
                                                         F.col("n").alias("class_size"), F.col("body").alias("class_id"))
     runs = inside.select(*whole.columns).unionByName(whole)
     found = segments.select("doc_id", "pos", "body").join(runs, "body").select(
         "doc_id", (F.col("pos") + F.col("k")).alias("pos"), "windows", "keeper_id", "class_size", "class_id")
-    found = cut(_joined(found, "doc_id", "pos"))
+    found = cut(_joined(found.filter("doc_id <> keeper_id"), "doc_id", "pos", ()) if removals else _joined(found, "doc_id", "pos"))
     for done in (segments, classes, heads, windows, named, inside):
         drop_cut(done)
     # Each run carries its class through the text it lies in, so runs are not matched with their places afterwards.
@@ -282,6 +288,18 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     rows with a null id yield none.  Rows with one id are one document (of
     several texts the greatest counts); other columns are ignored.
     """
+    lines, texts, seeds = _lines(docs, text, doc_id)
+    return lines.unionByName(_passages(texts, seeds))
+
+
+def removed_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``doc_id, start, length`` of all that ``repeated_paragraphs`` removes; neighbouring and overlapping passages are one."""
+    lines, texts, seeds = _lines(docs, text, doc_id)
+    return lines.unionByName(_passages(texts, seeds, removals=True)).filter("removed").select("doc_id", "start", "length")
+
+
+def _lines(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Repeated lines and blocks, the texts in which passages are looked for, and their shared seeds."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null and text is not null")
     rows = _one_text(rows)
     units = cut(rows.mapInArrow(_units, _UNITS))
@@ -308,7 +326,7 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_
         "class_id", "class_size", "keeper_id", (F.col("doc_id") != F.col("keeper_id")).alias("removed")))
     for done in (members, sentences, shown, units):
         drop_cut(done)
-    return found.unionByName(_passages(texts, seeds))
+    return found, texts, seeds
 
 
 def _shared_ids(rows: DataFrame) -> DataFrame | None:
@@ -348,7 +366,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     are, and so do rows whose text is not the one that stands for their id.
     """
     own, spans, main = (free_name(docs, c) for c in ("id_", "spans_", "main_"))
-    found = repeated_paragraphs(docs).filter("removed").groupBy(F.col("doc_id").alias(own)).agg(F.collect_list(F.struct("start", "length")).alias(spans))
+    found = removed_spans(docs).groupBy(F.col("doc_id").alias(own)).agg(F.collect_list(F.struct("start", "length")).alias(spans))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     several = _shared_ids(rows)
     if several is not None:

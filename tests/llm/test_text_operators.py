@@ -369,3 +369,23 @@ def test_passages_are_not_matched_with_their_places(spark):
     assert not [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x and "pos#" in x]
     got = {(r["doc_id"], r["start"], r["length"], r["n_words"], r["class_size"], r["keeper_id"]) for r in found.where("kind = 'passage'").collect()}
     assert got == {(i, 0, len(passage), 70, 6, 0) for i in range(6)}
+
+
+def test_removals_are_not_cut_at_the_edits_of_other_copies(spark):
+    """Near copies, each with edits of its own: the removed characters are those of the passages, in a number of rows that does not grow with the copies."""
+    rng = random.Random(21)
+    base = ["w%d" % i for i in range(600)]
+    rows = []
+    for i in range(24):
+        words = list(base)
+        for at in range(10 + i * 2, 600, 150):
+            words[at] = "e%d_%d" % (i, at)
+        # Lines of 8 words, each a paragraph too short to be compared: passages only.
+        rows.append((i, "\n\n".join(" ".join(words[a:a + 8]) for a in range(0, 600, 8)), "en", "s"))
+    rng.shuffle(rows)
+    docs = docs_of(spark, rows)
+    chars = lambda found: {(r["doc_id"], x) for r in found for x in range(r["start"], r["start"] + r["length"])}
+    whole = paragraphs.repeated_paragraphs(docs).where("removed").collect()
+    spans = paragraphs.removed_spans(docs).collect()
+    assert chars(spans) == chars(whole)
+    assert len(spans) <= 8 * len(rows) < len(whole) / 4
