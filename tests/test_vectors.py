@@ -351,3 +351,28 @@ def test_merge_small(spark):
     df = vectors(spark, np.array(m)).withColumn("cluster", F.expr("case when id < 3 then 1 when id < 6 then 2 else 3 end"))
     got = {r["id"]: r["cluster"] for r in labels.merge_small(df, min_size=3).collect()}
     assert got[6] == 1 and got[0] == 1 and got[3] == 2
+
+
+def test_many_small_mixtures_share_a_task():
+    """A bucket of problems of mixed sizes, copies among them, gets the shares that each problem gets alone."""
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    frames = []
+    for problem in range(40):
+        n = (1, 2, 5, 8, 9, 300)[problem % 6 if problem != 36 else 5]
+        n = 8 if n == 300 and problem != 36 else n
+        x = rng.normal(size=(n, 3)) * 0.1 + rng.integers(0, 3, size=(n, 1))
+        x = x[rng.integers(0, n, n)] if problem % 4 == 0 else x
+        frames.append(pd.DataFrame({"problem": problem, "node_id": np.arange(n), "x": list(x), "seed": rng.permutation(n)}))
+    frames.append(frames[9].assign(problem=None))
+    found = mixture._local_labels(pd.concat(frames[:-1]).sample(frac=1, random_state=1), 50, 20)
+    nulls = mixture._local_labels(frames[-1], 50, 20)
+    assert len(found) == sum(map(len, frames[:-1])) and len(nulls) == len(frames[9]) and nulls["problem"].isna().all()
+    for problem, own in found.groupby("problem"):
+        frame = frames[problem].sort_values(["seed", "node_id"])
+        x = np.stack(frame["x"])
+        alone = mixture._shares(x, mixture._fit_local(x, 50, 20))[0]
+        both = own.set_index("node_id")["p"].to_dict()
+        assert all(len(both[i]) == alone.shape[1] and np.allclose(both[i], p, atol=1e-6) for i, p in zip(frame["node_id"], alone))
+    assert all(np.allclose(a, b) for a, b in zip(nulls["p"], found[found["problem"] == 9]["p"]))
