@@ -67,3 +67,20 @@ def test_an_inserted_line_is_one_edit(spark):
     got = line_diff.line_edits(spark.createDataFrame(pairs, "id int, old string, new string")).collect()
     assert sorted((r["id"], r["old_no"], r["new_line"]) for r in got if r["new_line"]) == [(1, None, "first"), (2, None, "same")]
     assert [(r["old_no"], r["old_line"]) for r in got if r["new_no"] is None] == [(250, "line 250")]
+
+
+def test_rows_and_line_rows_agree(spark):
+    """Texts compared inside their rows and as line rows have the same edits, row by row."""
+    rng = random.Random(4)
+    pairs = [(None, "a\n\nb"), ("a", None), ("", "x\n"), ("a\na\nb", "a\nb\nb"), ("x\ny\nx", "x\nx\ny\nx\nz")]
+    for k in range(30):
+        old = [f"line {rng.randrange(4) if k % 3 else i}" for i in range(rng.randrange(1, 30))]
+        pairs.append(("\n".join(old), "\n".join(changed(rng, old))))
+    df = spark.createDataFrame([(i if i % 5 else None, *p) for i, p in enumerate(pairs)], "id int, old string, new string")
+    order = lambda rows: sorted(rows, key=repr)
+    inside = line_diff.line_edits(df)
+    assert "Exchange" not in inside._jdf.queryExecution().toString()  # no line is shuffled or written
+    apart = line_diff.line_edits(df, long=-1)
+    assert inside.schema.names == apart.schema.names and order(inside.collect()) == order(apart.collect())
+    mixed = line_diff.line_edits(df, long=120)
+    assert order(mixed.collect()) == order(apart.collect())
