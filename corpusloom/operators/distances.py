@@ -9,6 +9,7 @@ DISTANCES = ("cosine_distance", "L1", "L2", "Linf")
 DIGITS = 6
 SLACK = 10.0 ** -DIGITS  # rounding may lift a score by half of this
 TILE = 256
+CANCELS = 0.01  # of both squared lengths: below it, a squared distance is not taken from a product
 
 
 def unit(m: np.ndarray) -> np.ndarray:
@@ -23,10 +24,31 @@ def scores(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
     if metric in ("cosine", "cosine_distance"):
         cos = unit(q) @ unit(c).T
         return cos if metric == "cosine" else cos - 1.0
-    norms = {"L1": 1, "L2": 2, "Linf": np.inf}
-    if metric not in norms:
+    if metric not in DISTANCES:
         raise ValueError(f"unsupported metric {metric!r}; supported: {SIMILARITIES + DISTANCES}")
-    return np.stack([-np.linalg.norm(c - row, ord=norms[metric], axis=1) for row in q]) if len(q) else np.empty((0, len(c)))
+    if not len(q) or not len(c):
+        return np.empty((len(q), len(c)))
+    if metric == "L2":
+        return -_euclidean(q, c)
+    norm = {"L1": 1, "Linf": np.inf}[metric]
+    if len(c) < len(q):
+        return np.stack([-np.linalg.norm(q - row, ord=norm, axis=1) for row in c], axis=1)
+    return np.stack([-np.linalg.norm(c - row, ord=norm, axis=1) for row in q])
+
+
+def _euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """By one matrix product; pairs that are near for their lengths, where digits would cancel, by their differences."""
+    lengths = np.einsum("ij,ij->i", a, a)[:, None] + np.einsum("ij,ij->i", b, b)[None, :]
+    square = lengths - 2.0 * (a @ b.T)
+    near = ~(square > CANCELS * lengths)
+    out = np.sqrt(np.maximum(square, 0.0))
+    if len(b) < len(a):
+        for j in np.flatnonzero(near.any(axis=0)):
+            out[near[:, j], j] = np.linalg.norm(a[near[:, j]] - b[j], axis=1)
+    else:
+        for i in np.flatnonzero(near.any(axis=1)):
+            out[i, near[i]] = np.linalg.norm(b[near[i]] - a[i], axis=1)
+    return out
 
 
 def gap(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:

@@ -376,3 +376,24 @@ def test_many_small_mixtures_share_a_task():
         both = own.set_index("node_id")["p"].to_dict()
         assert all(len(both[i]) == alone.shape[1] and np.allclose(both[i], p, atol=1e-6) for i, p in zip(frame["node_id"], alone))
     assert all(np.allclose(a, b) for a, b in zip(nulls["p"], found[found["problem"] == 9]["p"]))
+
+
+def test_euclidean_distances_by_products(spark, monkeypatch):
+    """Distances come from one product, pairs with little between them from their differences; one pivot is no loop over rows."""
+    from corpusloom.operators import distances
+    rng = np.random.default_rng(5)
+    a = np.concatenate([rng.normal(size=(300, 16)), 1e4 + rng.normal(size=(20, 16)), np.zeros((2, 16))])
+    b = np.concatenate([a[:40], a[300:310] + 1e-5, rng.normal(size=(30, 16))])
+    for metric, norm in (("L1", 1), ("L2", 2), ("Linf", np.inf)):
+        want = np.linalg.norm(a[:, None, :] - b[None, :, :], ord=norm, axis=2)
+        for x, y, w in ((a, b, want), (b, a, want.T), (a, b[:1], want[:, :1]), (a[:1], b, want[:1])):
+            got = -distances.scores(x, y, metric)
+            assert got.shape == w.shape and np.allclose(got, w, rtol=1e-12, atol=1e-11)
+    assert distances.scores(a[:0], b, "L2").shape == (0, len(b)) and distances.scores(a, b[:0], "L2").shape == (len(a), 0)
+    calls, plain = [], np.linalg.norm
+    monkeypatch.setattr(np.linalg, "norm", lambda *args, **kw: calls.append(1) or plain(*args, **kw))
+    far = rng.normal(size=(500, 64))
+    for metric in ("L1", "L2", "Linf"):
+        distances.gap(far, far[:1], metric)
+    distances.scores(far[:250], far[250:], "L2")
+    assert len(calls) <= 3
