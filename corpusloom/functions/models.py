@@ -32,6 +32,10 @@ Answerer = Callable[[Column, Column], Column]
 Reranker = Callable[[Column, Column], Column]
 TokenCounter = Callable[[Column], Column]
 
+# Fixed value: words whose bucket a worker remembers, a few MB; a vocabulary has no bound of its own.
+REMEMBERED = 1 << 15
+
+
 class _Buckets(dict):
     """Word to hash bucket, filled on first use and bounded in size."""
 
@@ -39,7 +43,7 @@ class _Buckets(dict):
         self.dim = dim
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         found = self[word] = int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16) % self.dim
         return found

@@ -27,6 +27,7 @@ DENSE_SHARE = 0.5
 QUESTIONS = 4096         # questions that look into the balls of a block at a time
 LEAST_DISTRICTS = 16     # of a corpus that is cut into cells, for tasks enough
 CELL_NUMBERS = 1 << 20   # question-by-cell numbers at a time
+WIDTH = 4096             # items that a tile of questions is scored against at a time
 
 
 class _Best:
@@ -82,12 +83,14 @@ class _Best:
 
 def _offer(best: _Best, rows: np.ndarray, q: np.ndarray, c: np.ndarray, codes: np.ndarray, metric: str, seen: np.ndarray | None = None) -> None:
     """Score items for the queries ``rows``; items below the bound of all of them are neither rounded nor ordered."""
-    s = scores(q[rows], c, metric)
-    if seen is not None:
-        s[seen] = -np.inf
-    some = (s >= (best.bound(rows) - SLACK)[:, None]).any(axis=0)
-    if some.any():
-        best.add(rows, np.round(s[:, some], DIGITS) + 0.0, codes[some])
+    for a in range(0, len(c), WIDTH):
+        part = slice(a, a + WIDTH)
+        s = scores(q[rows], c[part], metric)
+        if seen is not None:
+            s[seen[:, part]] = -np.inf
+        some = (s >= (best.bound(rows) - SLACK)[:, None]).any(axis=0)
+        if some.any():
+            best.add(rows, np.round(s[:, some], DIGITS) + 0.0, codes[part][some])
 
 
 def _spread_pivots(c: np.ndarray, n: int, metric: str) -> tuple[np.ndarray, np.ndarray]:

@@ -380,7 +380,6 @@ def test_many_small_mixtures_share_a_task():
 
 def test_euclidean_distances_by_products(spark, monkeypatch):
     """Distances come from one product, pairs with little between them from their differences; one pivot is no loop over rows."""
-    from corpusloom.operators import distances
     rng = np.random.default_rng(5)
     a = np.concatenate([rng.normal(size=(300, 16)), 1e4 + rng.normal(size=(20, 16)), np.zeros((2, 16))])
     b = np.concatenate([a[:40], a[300:310] + 1e-5, rng.normal(size=(30, 16))])
@@ -397,3 +396,38 @@ def test_euclidean_distances_by_products(spark, monkeypatch):
         distances.gap(far, far[:1], metric)
     distances.scores(far[:250], far[250:], "L2")
     assert len(calls) <= 3
+
+
+def test_pairs_of_two_blocks_leave_tile_by_tile():
+    """All pairs of a dense block are never held at once."""
+    n = 4 * balls.TILE
+    pdf = pd.DataFrame({"side": 0, "id": np.arange(n), "vec": list(np.eye(1, 4).repeat(n, axis=0)), "gap": 0.0})
+    parts = balls._pairs((0, 0, 0, 0), pdf, 0.5, "cosine", 1.0)
+    sizes = [len(p) for p in parts]
+    assert sum(sizes) == n * (n - 1) // 2 and len(sizes) == 4 and max(sizes) <= balls.TILE * n
+
+
+def test_wide_blocks_are_scored_in_parts(monkeypatch):
+    """A tile of questions meets at most WIDTH items at a time, with the same best items, ties included."""
+    rng = np.random.default_rng(8)
+    items = np.round(rng.normal(size=(600, 3)), 1)
+    items[1::2] = items[::2]
+    asked, ids = np.round(rng.normal(size=(40, 3)), 1), rng.permutation(600)
+    found, widest, plain = [], [], similarity.scores
+    monkeypatch.setattr(similarity, "scores", lambda q, c, m: widest.append(len(c)) or plain(q, c, m))
+    for width in (600, 64):
+        monkeypatch.setattr(similarity, "WIDTH", width)
+        widest.clear()
+        best = similarity._Best(np.arange(40), 7, True)
+        similarity._search_block(best, asked, ids, items, "inner_product")
+        found.append(best.frame())
+        assert max(widest) <= width
+    pd.testing.assert_frame_equal(*found)
+
+
+def test_embedder_remembers_few_words():
+    from corpusloom.functions import models
+    buckets = models._Buckets(64)
+    plain = {w: buckets[w] for w in map(str, range(3 * models.REMEMBERED))}
+    assert len(buckets) <= models.REMEMBERED <= 1 << 16
+    assert all(buckets[w] == plain[w] for w in ("0", "17", "98000"))
