@@ -431,3 +431,51 @@ def test_embedder_remembers_few_words():
     plain = {w: buckets[w] for w in map(str, range(3 * models.REMEMBERED))}
     assert len(buckets) <= models.REMEMBERED <= 1 << 16
     assert all(buckets[w] == plain[w] for w in ("0", "17", "98000"))
+
+
+def spread_out(n, dim=16):
+    m = np.random.default_rng(9).normal(size=(n, dim))
+    return m / np.linalg.norm(m, axis=1)[:, None]
+
+
+def test_cells_that_reach_everywhere_are_not_split(spark):
+    """Vectors in all directions under a wide cut: copies in other cells would spare no comparison."""
+    m = spread_out(400)
+    placed = balls.placements(vectors(spark, m), 0.7, block_rows=20)
+    assert placed.count() == 400
+    d = distances.distance(m, m, "cosine")
+    assert similarity.pairs_within(vectors(spark, m), 0.7, block_rows=20).count() == (np.triu(d <= 0.7, 1)).sum()
+
+
+def test_tasks_keep_a_forest_of_their_pairs(spark):
+    m = np.round(np.abs(spread_out(300, 3)), 1) + 0.1  # many pairs, many of equal distance
+    m = np.unique(m, axis=0)
+    v, n = vectors(spark, m), len(m)
+    for rows, most in ((None, n - 1), (n // 4, 9 * n)):
+        kept = similarity.pairs_within(v, 3.0, metric="L2", block_rows=rows, forest=True).toPandas()
+        assert n - 1 <= len(kept) <= most < n * (n - 1) // 8
+        pairs = similarity.pairs_within(v, 3.0, metric="L2").toPandas()
+        least = balls._forest(pairs)["distance"].to_numpy()
+        assert len(least) == n - 1 and np.allclose(np.sort(balls._forest(kept)["distance"]), np.sort(least))
+    # Prim's algorithm on the full matrix has the same lengths.
+    d = distances.distance(m, m, "L2")
+    near, want, out = d[0].copy(), [], np.arange(n) > 0
+    while out.any():
+        at = np.flatnonzero(out)[near[out].argmin()]
+        want.append(near[at])
+        out[at], near = False, np.minimum(near, d[at])
+    assert np.allclose(np.sort(want), np.sort(least))
+
+
+def test_average_linkage_has_no_rows_per_pair(spark, monkeypatch):
+    m = spread_out(120, 6)
+    monkeypatch.setattr(similarity, "pairs_within", None)
+    found = agglomerate.cluster(vectors(spark, np.concatenate([m, m[:5]])), 0.6, linkage="average")
+    dist = brute.cosine_matrix(np.concatenate([m, m[:5]]).astype(np.float32).astype(float))
+    assert groups(found.labels) == brute.agglomerate(np.where(dist < 1e-7, 0.0, dist), 0.6, "average")
+
+
+def test_average_linkage_leaves_unusable_vectors_alone(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [float("nan"), 1.0]), (4, [0.0, 0.0]), (5, [float("inf"), 0.0]), (None, [1.0, 0.2])]
+    found = agglomerate.cluster(spark.createDataFrame(rows, "id bigint, embedding array<float>"), 0.5, linkage="average")
+    assert {r["id"]: r["cluster"] for r in found.labels.where("id is not null").collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
