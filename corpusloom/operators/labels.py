@@ -69,16 +69,17 @@ def by_size(df: DataFrame, cluster: str = "cluster") -> DataFrame:
 
 def polish(df: DataFrame, summarize=None, max_tokens: int = 150, cluster: str = "cluster",
            order: list[str] = ("id",), rows_per_part: int = 1000) -> DataFrame:
-    """The texts of each cluster in order: ``cluster, part, text, n_rows``, a part per ``rows_per_part`` rows.
+    """The texts of each cluster in order, joined whole: ``cluster, text, n_rows``.
 
-    With a summariser, one summary per cluster instead (``cluster, text,
-    n_rows``): the parts are summarised, then the summaries of ``rows_per_part``
-    parts at a time, until one is left.  No row grows with a cluster.
+    With a summariser, one summary per cluster instead: the texts are joined in
+    parts of ``rows_per_part`` rows, the parts are summarised, then the summaries
+    of ``rows_per_part`` parts at a time, until one is left, and no row grows
+    with a cluster.
     """
     sep = "\n\n"
-    parts = ordered.concat_parts(df, [cluster], list(order), F.col("text"), sep, rows_per_part)
     if summarize is None:
-        return parts
+        return ordered.concat_whole(df, [cluster], list(order), F.col("text"), sep, rows_per_part)
+    parts = ordered.concat_parts(df, [cluster], list(order), F.col("text"), sep, rows_per_part)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda s: s["text"]), sep)
     out = None
     while True:

@@ -47,3 +47,16 @@ def test_polished_documents_hold_all_documents(spark, tmp_path):
         parts = sorted((r["part"], r["text"], r["n_rows"]) for r in got if r["fname"] == source)
         assert [n for _, _, n in parts] == [1000, 50]
         assert "\n\n".join(x for _, x, _ in parts) == "\n\n".join(f"text {i}… of it" for i, _, s in rows if s == source)
+
+
+def test_cluster_texts_are_whole(spark, tmp_path):
+    """One text per cluster, however many rows it has; rows without a label are a cluster, null texts are passed over."""
+    rows = [(i, f"t{i}" if i != 5 else None, i % 2 if i < 2100 else None) for i in range(2102)] + [(3000, None, 7)]
+    docs = spark.createDataFrame([(i, t, "s", "en") for i, t, _ in rows], "doc_id bigint, text string, source string, lang string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    vectors = spark.createDataFrame([(i, c, [1.0]) for i, _, c in rows], "vec_id bigint, label int, embedding array<float>")
+    vectors.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = [(r["cluster"], r["text"], r["n_rows"]) for r in catalog.QUERIES["cluster_texts"].run(spark, str(tmp_path)).collect()]
+    want = [(c, "\n\n".join(t for _, t, x in rows if x == c and t is not None) if c != 7 else None, sum(x == c for _, _, x in rows))
+            for c in (None, 0, 1, 7)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
