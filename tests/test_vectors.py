@@ -479,3 +479,40 @@ def test_average_linkage_leaves_unusable_vectors_alone(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [float("nan"), 1.0]), (4, [0.0, 0.0]), (5, [float("inf"), 0.0]), (None, [1.0, 0.2])]
     found = agglomerate.cluster(spark.createDataFrame(rows, "id bigint, embedding array<float>"), 0.5, linkage="average")
     assert {r["id"]: r["cluster"] for r in found.labels.where("id is not null").collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+
+
+def test_unit_vectors_take_the_length_once(spark):
+    """The plan has the length in a lambda of its own, not inside that of the elements."""
+    from corpusloom.functions import vectors as vx
+    df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, []), (4, None)], "id int, v array<float>")
+    out = df.select("id", vx.normalize_l2(F.col("v")).alias("u"))
+    assert {r["id"]: r["u"] for r in out.collect()} == {1: [3 / (5 + 1e-9), 4 / (5 + 1e-9)], 2: [0.0, 0.0], 3: [], 4: None}
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.index("array((SQRT") < plan.index(" / ")
+
+
+def test_small_problems_are_dealt_out_by_size(spark):
+    """Problems of one size meet, one size in several buckets; the number of tasks does not depend on bytes."""
+    from corpusloom.operators import mixture
+    rows = [(p, p * 1000 + i, [float(i), 1.0]) for p in range(700) for i in range((3, 40)[p % 2])]
+    df = spark.createDataFrame([*rows, (None, -1, [0.0, 1.0])], "problem bigint, node_id bigint, x array<double>")
+    small, large = mixture._small_and_large(df, 39)
+    assert large == {p: 40 for p in range(1, 700, 2)} and small.count() == 350 * 3 + 1
+    small, large = mixture._small_and_large(df, 50)
+    sizes = small.groupBy("bucket", "problem").count().groupBy("bucket").agg(F.collect_set("count").alias("n"), F.count("problem").alias("problems"))
+    got = {r["bucket"]: (r["n"], r["problems"]) for r in sizes.collect()}
+    assert not large and got.pop(-1) == ([1], 0) and sorted(n for n, _ in got.values()) == [[3], *[[40]] * 4]
+    assert sum(p for _, p in got.values()) == 700 and small.rdd.getNumPartitions() == 6
+
+
+def test_stacked_problems_of_unlike_sizes_are_fitted_alone():
+    """Rows of zeros that continue shorter problems leave no trace."""
+    from corpusloom.operators import mixture
+    rng = np.random.default_rng(8)
+    n = np.array([18, 20, 20, 19])
+    x = np.zeros((4, 20, 3))
+    for to, size in zip(x, n):
+        to[:size] = rng.normal(size=(size, 3)) * 0.05 + rng.choice([0.0, 1.0], (size, 1))
+    for own, size, p in zip(x, n, mixture._fit_stacked(x, n, 50, 20)):
+        alone = mixture._shares(own[:size], mixture._fit_local(own[:size], 50, 20))[0]
+        assert p.shape == alone.shape and np.allclose(p, alone, atol=1e-6)
