@@ -79,29 +79,36 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _lower(dims: int, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
+    def run(block: pa.Table, asked: pa.Table) -> pa.Table:
+        """A block's k best lower bounds for every query."""
+        queries, best_of = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for b in block.to_pylist():
+            ids, cells = np.frombuffer(b["ids"], np.int64), _matrix(b["cells"], np.uint8, dims)
+            low, high = _matrix(b["low"], np.int64, CELLS), _matrix(b["high"], np.int64, CELLS)
+            for r in asked.to_pylist():
                 qid, q = np.frombuffer(r["q_ids"], np.int64), _matrix(r["q_vectors"], np.int64, dims)
-                ids = np.frombuffer(r["ids"], np.int64)
-                lo, _ = bounds(q, _matrix(r["cells"], np.uint8, dims), _matrix(r["low"], np.int64, CELLS), _matrix(r["high"], np.int64, CELLS))
+                lo, _ = bounds(q, cells, low, high)
                 lo[qid[:, None] == ids[None, :]] = -np.inf
                 m = min(k, lo.shape[1])
                 best = -np.partition(-lo, m - 1, axis=1)[:, :m]
                 keep = np.isfinite(best)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, m)[keep.reshape(-1)]), pa.array(best[keep])], ["query_id", "bound"])
+                queries.append(np.repeat(qid, m)[keep.reshape(-1)])
+                best_of.append(best[keep])
+        return pa.Table.from_arrays([pa.array(np.concatenate(queries)), pa.array(np.concatenate(best_of))], names=["query_id", "bound"])
     return run
 
 
 def _search(dims: int, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
+    def run(block: pa.Table, asked: pa.Table) -> pa.Table:
+        """A block's k greatest products for every query, as far as they can be among the greatest of all."""
+        out = []
+        for b in block.to_pylist():
+            ids, x = np.frombuffer(b["ids"], np.int64), _matrix(b["vectors"], np.int64, dims)
+            cells, low, high = _matrix(b["cells"], np.uint8, dims), _matrix(b["low"], np.int64, CELLS), _matrix(b["high"], np.int64, CELLS)
+            for r in asked.to_pylist():
                 qid, q = np.frombuffer(r["q_ids"], np.int64), _matrix(r["q_vectors"], np.int64, dims)
-                ids, x = np.frombuffer(r["ids"], np.int64), _matrix(r["vectors"], np.int64, dims)
-                _, hi = bounds(q, _matrix(r["cells"], np.uint8, dims), _matrix(r["low"], np.int64, CELLS), _matrix(r["high"], np.int64, CELLS))
+                _, hi = bounds(q, cells, low, high)
                 need = dict(zip(r["need_ids"] or [], r["need"] or []))
-                out = []
                 for i, query in enumerate(qid):
                     able = np.flatnonzero((hi[i] >= need.get(int(query), -np.inf)) & (ids != query))
                     able = able[np.argsort(-hi[i, able], kind="stable")]
@@ -113,7 +120,7 @@ def _search(dims: int, k: int):
                         found = sorted([*found, *((-int(v), int(j)) for v, j in zip(s, ids[part]))])[:k]
                         at, step = at + step, step * 2
                     out += [(int(query), j, -v) for v, j in found]
-                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
+        return pa.Table.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
     return run
 
 
@@ -146,18 +153,19 @@ def top_products(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str =
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"))
     queries = cut(asked.groupBy("block").applyInArrow(_blocks(dims, borders), _BLOCK))
     queries = queries.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    # The stated queries, in blocks, against all blocks of vectors.
-    sent = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    width = max(1, count * groups)
-    sent = sent.repartition(width, "block", "q_block")
-    coarse = sent.join(blocks.select("block", "ids", "cells", "low", "high"), "block")
-    best = coarse.select("q_ids", "q_vectors", "ids", "cells", "low", "high").mapInArrow(_lower(dims, k), "query_id long, bound double")
+    # The stated queries, in blocks, against all blocks of vectors.  Blocks and queries meet as groups: a join would repeat a
+    # block's vectors for every block of queries, and Spark takes the repeated queries for small enough to go through the driver.
+    def meeting(asked: DataFrame, block: DataFrame, run, schema: str) -> DataFrame:
+        sent = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+        return block.repartition(count, "block").groupBy("block").cogroup(
+            sent.repartition(count, "block").groupBy("block")).applyInArrow(run, schema)
+
+    best = meeting(queries, blocks.select("block", "ids", "cells", "low", "high"), _lower(dims, k), "query_id long, bound double")
     order = Window.partitionBy("query_id").orderBy(F.desc("bound"))
     kth = best.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).groupBy("query_id").agg(
         F.min("bound").alias("bound"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k)
     kth = kth.withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
     need = cut(kth.groupBy("q_block").agg(F.collect_list("query_id").alias("need_ids"), F.collect_list("bound").alias("need")))  # lists as long as a query block
-    fine = sent.join(need, "q_block", "left").join(blocks.drop("n"), "block")
-    found = fine.mapInArrow(_search(dims, k), "query_id long, vec_id long, score long")
+    found = meeting(queries.join(need, "q_block", "left"), blocks.drop("n"), _search(dims, k), "query_id long, vec_id long, score long")
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

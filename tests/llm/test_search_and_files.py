@@ -158,3 +158,11 @@ def test_schedule_of_default_weights_equals_sql(spark, tmp_path, monkeypatch):
     sf = "/root/testdata/sf0.001"
     sql = mixing.SQL.replace("65536", "700")
     assert oracle.spark_rows(mixing.schedule(spark.read.parquet(f"{sf}/documents.parquet"))) == oracle.sql_rows(oracle.connect(sf), sql)
+
+
+def test_queries_for_all_blocks_do_not_go_through_the_driver(spark, monkeypatch):
+    """The queries, repeated for every block, meet the blocks as groups, not by a join that Spark may broadcast."""
+    monkeypatch.setattr(vafile, "BLOCK_ROWS", 60)
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(200)], "vec_id long, embedding array<float>")
+    plan = vafile.top_products(df, every=10)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "MapInArrow" not in plan
